@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import chars, encoding, scanned, survivors
+from . import chars, encoding, leakage, packing, scanned, survivors, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 RAW, SNIPPET, CONTEXT, KEYWORD = "multi_era_50_results.raw_text", "labor_audit_50_results.snippet", "snippets.context_text", "snippets.keyword_found"
@@ -69,10 +69,35 @@ def p4_survivors(spark: SparkSession, d: str) -> DataFrame:
     return survivors.survivors(table(spark, d, "reports"), table(spark, d, "sources"))
 
 
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_all(table(spark, d, "documents"), table(spark, d, "pack_targets"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p6_packed(spark, d), table(spark, d, "pack_targets"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).where("kind = 'verbatim'").select("doc_id", "item_id").distinct()
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_documents(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p8_share_by_source(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.share_by_source(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found, "p1_repaired": p1_repaired, "p2_found": p2_found, "p2_consistent": p2_consistent,
         "p3_found": p3_found, "p3_restored": p3_restored, "p4_found": p4_found, "p4_survivors": p4_survivors,
+        "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_share_by_source": p8_share_by_source,
     }
 
 
