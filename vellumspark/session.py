@@ -58,3 +58,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def executor_slots(spark: SparkSession) -> int:
     """Parallelism hint used where a map-only stage would start from one file."""
     return max(2, spark.sparkContext.defaultParallelism)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the Python workers this package, once a Spark application, wherever the driver was started."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    import shutil
+    from pathlib import Path
+
+    here = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="vellum-ship-")  # read by the driver's file server only
+    archive = shutil.make_archive(os.path.join(folder, "vellumspark"), "zip", here.parent, here.name)
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
