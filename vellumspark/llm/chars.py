@@ -102,6 +102,31 @@ def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return points, count[offsets - offsets[0]] if len(texts) else np.zeros(1, np.int64)
 
 
+#: Bytes of text that a worker handles at once; longer single texts are still handled whole.
+SLICE_BYTES = 1_500_000
+
+
+def slices(batches: Iterator[pa.RecordBatch], *columns: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts in ``columns`` stay below SLICE_BYTES: bounds the arrays built from them."""
+    for batch in batches:
+        size = np.zeros(batch.num_rows, np.int64)
+        for c in columns:
+            size += np.diff(_offsets(batch.column(c))) if batch.num_rows else 0
+        start, total = 0, 0
+        for i, n in enumerate(size.tolist()):
+            if total and total + n > SLICE_BYTES:
+                yield batch.slice(start, i - start)
+                start, total = i, 0
+            total += n
+        if batch.num_rows:
+            yield batch.slice(start)
+
+
+def _offsets(texts: pa.Array) -> np.ndarray:
+    wide = texts.type in (pa.large_string(), pa.large_binary())
+    return np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+
+
 def to_strings(points: np.ndarray, bounds: np.ndarray, valid: np.ndarray) -> pa.Array:
     """The reverse of ``code_points``: one encoding call for the batch, offsets by cumulated byte widths."""
     width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
@@ -210,7 +235,7 @@ def consistent(df: DataFrame, key: str, fields: dict[str, str], only_changed: bo
     labels = [fields[c] for c in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, *range(1, len(labels) + 1)):
             for i, label in enumerate(labels):
                 text, changed = normalise(batch.column(i + 1))
                 out = pa.RecordBatch.from_arrays(

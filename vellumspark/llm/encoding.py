@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chars import code_points
+from .chars import code_points, slices
 
 # The vowels of Vietnamese with their marks and tones, and the barred d.
 _VOWELS = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđ"
@@ -193,7 +193,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     clean = np.zeros(N_LETTERS * N_LETTERS, np.int64)
     table = _letter_table()
     garbled: Counter = Counter()
-    for batch in batches:
+    for batch in slices(batches, 0):
         texts = batch.column(0)
         bad = np.zeros(len(texts), bool)
         look = np.flatnonzero(suspicious(texts))
@@ -368,7 +368,7 @@ def repaired(df: DataFrame, key: str, fields: dict[str, str], maps: dict[str, di
     shared = df.sparkSession.sparkContext.broadcast(maps)  # bounded: see LEAST_SHARE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, *range(1, len(labels) + 1)):
             for i, label in enumerate(labels):
                 texts = batch.column(i + 1)
                 look = np.flatnonzero(suspicious(texts))

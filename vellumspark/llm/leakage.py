@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chars import code_points
+from .chars import code_points, slices
 from .words import hashed_words, mix, windows
 
 LEAST_RUN = 18
@@ -241,7 +241,7 @@ def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = shared.value
-            for batch in batches:
+            for batch in slices(batches, 1):
                 found = find(batch.column(1), items)
                 ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays(

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chars import code_points
+from .chars import code_points, slices
 
 #: Least share of all words that a vocabulary word has (at most one million words).
 WORD_SHARE = 1e-6
@@ -93,7 +93,7 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["kind", "key", "n"])
 
     letter, blank, _, lower, _ = _classes()
-    for batch in batches:
+    for batch in slices(batches, 0):
         points, bounds = code_points(batch.column(0))
         if not len(points):
             continue
@@ -439,7 +439,7 @@ def continuous(df: DataFrame, key: str, fields: dict[str, str], know: Knowledge,
         own = Knowledge.__new__(Knowledge)
         own.words, own.number, own.follows, line, inline, own.anchors = shared.value
         own.line, own.inline, own.verdict, own.judged = re.compile(line), re.compile(inline), {}, {}
-        for batch in batches:
+        for batch in slices(batches, *range(1, len(labels) + 1)):
             for i, label in enumerate(labels):
                 out = []
                 worth = _worth(batch.column(i + 1), own)
