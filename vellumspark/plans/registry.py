@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import general
+from . import general, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (general,)
-FLAGSHIP: Query = general.p5_found
+_MODULES = (text_queries, general)
+FLAGSHIP: Query = text_queries.keyword_panel
 
 
 def queries() -> dict[str, Query]:

@@ -55,9 +55,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def executor_slots(spark: SparkSession) -> int:
-    """Parallelism hint used where a map-only stage would start from one file."""
-    return max(2, spark.sparkContext.defaultParallelism)
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all slots where its input has fewer splits than half of them (small single files).
+
+    Inputs with enough splits, such as any large table, are left as they are: no shuffle is added there.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < max(2, slots // 2) else df
 
 
 _SHIPPED: set[str] = set()
