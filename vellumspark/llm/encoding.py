@@ -90,7 +90,11 @@ def exact(symbol: str, page: str) -> str | None:
 
 
 def _plausible(letter: str | None) -> bool:
-    return letter is not None and (letter in CLEAN or letter in _FOREIGN or " " <= letter <= "ÿ" or letter in "̛̣̀́̃̉" or " " <= letter <= "⁯" or "！" <= letter <= "～" or letter == "﻿")
+    """Letters, marks and signs that a text may hold; control codes, too, as they are bytes of a twice-garbled letter."""
+    if letter is None or len(letter) != 1:
+        return False
+    c = ord(letter)
+    return letter in CLEAN or letter in _FOREIGN or 0x80 <= c <= 0xFF or c in (0x300, 0x301, 0x303, 0x309, 0x31B, 0x323) or 0x2000 <= c <= 0x206F or 0xFF01 <= c <= 0xFF5E or c == 0xFEFF or c in (0x192, 0x152, 0x153, 0x160, 0x161, 0x178, 0x17D, 0x17E, 0x2C6, 0x2DC, 0x2122, 0x201A, 0x20AC)
 
 
 def source_of(text: str) -> tuple[str, list[tuple[int, int]]] | None:

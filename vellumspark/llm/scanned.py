@@ -232,6 +232,9 @@ class Knowledge:
             return None
         if _CODE.match(core) and re.search(r"\d", core):
             return None  # a firm's code
+        if re.fullmatch(r"[a-z]0", core):  # a word of two letters that ends in o; a code is rarely written so
+            word = core[0] + "o"
+            return token.replace(core, word) if self.common(word) >= 100 else None
         if re.search(r"\d", low) and (not re.search(r"[^\W\d_]", low) or re.fullmatch(r"(?:[a-z]{1,2}\d+|\d+[a-z]{1,3}|[a-z]\d[a-z])", low)):
             if not re.search(r"[^\x00-\x7f]", low) and not (re.search(r"[01]", low) and len(low) > 2 and low.islower() and core.islower()):
                 return None
