@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Placeholder marks: open, close, escape (private use area).
-OPEN, CLOSE, ESC = "", "", ""
+OPEN, CLOSE, ESC = "\ue000", "\ue001", "\ue002"
 #: Delimiters that stand anywhere (a comma between two digits is a decimal sign).
 HARD = r"[|;\t\r\n]+|(?<!\d),|,(?!\d)"
 #: Delimiters that count only between blanks, since they also occur inside words.
