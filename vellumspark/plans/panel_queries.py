@@ -216,6 +216,14 @@ QUERIES = {
 
 _WIDE = "WITH w AS (SELECT 'S' || l_suppkey AS ticker, CAST(year(o_orderdate) AS INT) AS year, " + ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in ITEMS.items()) + " FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)\n"
 _LONG = _WIDE + ", f AS (UNPIVOT w ON " + ", ".join(ITEMS) + " INTO NAME item_code VALUE value)\n"
+
+
+def _group_sql(c: str) -> str:
+    """The accounting groups as a CASE chain."""
+    arms = [f"WHEN starts_with({c}, '{prefix}') AND (" + " OR ".join(f"contains({c}, '{x}')" for x in parts) + f") THEN '{name}'" for name, parts, prefix in finance.ITEM_GROUPS]
+    return "CASE " + " ".join(arms) + " ELSE 'other' END"
+
+
 _NEWS = r"""WITH a AS (SELECT doc_id AS article_id, ticker, CAST(year(published_at) AS INT) AS year, text FROM documents WHERE doc_kind = 'news' AND text IS NOT NULL AND ticker IS NOT NULL AND published_at IS NOT NULL)
 """
 SQL = {
@@ -231,6 +239,13 @@ round(CASE WHEN ta > 0 THEN ln(ta) END, 4) AS size_ln, round(inv * 365 / nullif(
     "balance_identity": _WIDE + "SELECT (abs(bs_tong_tai_san - (bs_no_phai_tra + bs_von_chu_so_huu)) < 1.0 OR abs(bs_tong_tai_san - (bs_no_phai_tra + bs_von_chu_so_huu)) < 0.001 * abs(bs_tong_tai_san)) AS balanced, count(*) AS n FROM w GROUP BY 1",
     "alias_lookup": _WIDE + "SELECT ticker, year, round(coalesce(CASE WHEN bs_hang_ton_kho >= 2000000 THEN bs_hang_ton_kho END, bs_tien), 2) AS stock FROM w WHERE coalesce(CASE WHEN bs_hang_ton_kho >= 2000000 THEN bs_hang_ton_kho END, bs_tien) IS NOT NULL",
     "firm_grid": _WIDE + "SELECT 'S' || s_suppkey AS ticker, CAST(y AS INT) AS year, round(is_doanh_thu_thuan, 2) AS revenue FROM supplier CROSS JOIN range(1994, 2003) r(y) LEFT JOIN w ON w.ticker = 'S' || s_suppkey AND w.year = y",
+    "item_groups": _WIDE + "SELECT item_code, count(value) AS n, " + _group_sql("item_code") + " AS accounting_group FROM (SELECT * FROM w UNPIVOT INCLUDE NULLS (value FOR item_code IN (" + ", ".join(ITEMS) + "))) GROUP BY 1",
+    "article_years": r"""WITH y AS (SELECT doc_id, regexp_extract(source, '/((?:19|20)\d\d)/', 1) AS a, regexp_extract(source, '(?:^|\D)((?:19|20)\d\d)(?:\D|$)', 1) AS b, regexp_extract(substring(text, 1, 600), '\d{1,2}[/.-]\d{1,2}[/.-]((?:19|20)\d\d)', 1) AS c,
+regexp_extract(substring(text, 1, 300), '(?:^|\D)((?:19|20)\d\d)(?:\D|$)', 1) AS d FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST(coalesce(nullif(a, ''), nullif(b, ''), nullif(c, ''), nullif(d, '')) AS INT) AS year FROM y""",
+    "company_mentions": r"""WITH a AS (SELECT doc_id AS article_id, d.ticker, company_name, substring(split_part(text, '.', 1), 1, 200) || ' ' || substring(text, 1, 300) || ' ' || substring(text, 1, 4000) AS body FROM documents d JOIN companies c ON d.ticker = c.ticker WHERE doc_kind = 'news' AND text IS NOT NULL),
+b AS (SELECT *, lower(trim(regexp_replace(regexp_replace(company_name, '(?i)^\s*(?:tổng\s+công\s+ty|công\s+ty|ctcp|ngân\s+hàng|tập\s+đoàn)\s*(?:cổ\s+phần|tnhh|mtv|tm)?\s*(?:mtv)?\s*', ''), '(?i)\s*[-–]\s*(?:ctcp|công\s+ty\s+cổ\s+phần)\s*$|\s*\([^)]*\)\s*$', ''))) AS brand FROM a)
+SELECT article_id, (regexp_matches(body, '(?:^|[^A-Za-z0-9])' || ticker || '(?:[^A-Za-z0-9]|$)') OR coalesce(length(company_name) > 6 AND contains(lower(body), lower(company_name)), false) OR coalesce(length(brand) >= 4 AND contains(lower(body), brand), false)) AS confirmed FROM b""",
     "facts_upsert": _LONG + "SELECT ticker, count(*) AS n, round(sum(CASE WHEN ticker LIKE '%5' THEN value * 2 ELSE value END), 1) AS total FROM (SELECT * FROM w UNPIVOT INCLUDE NULLS (value FOR item_code IN (" + ", ".join(ITEMS) + "))) GROUP BY 1",
     "panel_merge": """WITH a AS (SELECT upper(trim(ticker)) AS ticker, report_year AS year, total_pages, report_id FROM reports WHERE trim(ticker) <> '' AND report_year IS NOT NULL QUALIFY row_number() OVER (PARTITION BY upper(trim(ticker)), report_year ORDER BY report_id) = 1),
 b AS (SELECT upper(trim(ticker)) AS ticker, report_year AS year, labor, audit_id FROM multi_era_50_results WHERE trim(ticker) <> '' AND report_year IS NOT NULL QUALIFY row_number() OVER (PARTITION BY upper(trim(ticker)), report_year ORDER BY audit_id DESC) = 1)
