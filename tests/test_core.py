@@ -244,6 +244,24 @@ class TestCatalog:
         assert {tuple(r) for r in catalog.supplement(a, b, ["k"]).collect()} == {(1, "a"), (2, "y")} and {tuple(r) for r in catalog.override(a, b, ["k"]).collect()} == {(1, "x"), (2, "y")}
 
 
+def test_ranks(spark):
+    from vellumspark.operators.ranking import one_per_key, rank_within
+
+    r = random.Random(1)
+    rows = [(i, r.choice(["a", "a", "a", None, "b"]), r.random()) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, k string, v double")
+    for size in (1000, 40):
+        got = {x.id: x.n for x in rank_within(df, ["k"], "id", "n", size).collect()}
+        seen: dict = {}
+        for i, k, _ in rows:
+            seen[k] = seen.get(k, 0) + 1
+            assert got[i] == seen[k]
+    first = {x.k: x.id for x in one_per_key(df, ["k"], F.col("id")).collect()}
+    assert first == {k: min(i for i, x, _ in rows if x == k) for k in ("a", "b", None)}
+    last = {x.k: x.id for x in one_per_key(df, ["k"], F.col("id"), True).collect()}
+    assert last["a"] == max(i for i, x, _ in rows if x == "a") and one_per_key(df.limit(0), ["k"], F.col("id")).count() == 0
+
+
 class TestNews:
     def test_html(self, spark):
         html = '<html><head><title>T | Site</title><meta property="og:description" content="Lead"><meta property="article:published_time" content="2020-05-01"></head><body><nav><p>menu</p></nav><h1>Head</h1><p>One  two</p><script>x</script><figcaption>cap</figcaption></body></html>'

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import split_tickers, strip_accents
+from .ranking import one_per_key, rank_within
 
 EXCHANGES = ("HSX", "HNX", "UPCOM")
 
@@ -105,14 +106,12 @@ def override(base: DataFrame, newer: DataFrame, keys: list[str]) -> DataFrame:
 
 def first_file(files: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """The first file of each firm and year."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return files.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    return one_per_key(files, keys, order)
 
 
 def archive_names(files: DataFrame, folder: Column, name: Column) -> DataFrame:
     """Files with their place in an archive; repeated names get a running suffix."""
     stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    path = F.concat_ws("/", folder, name)
-    w = Window.partitionBy(path).orderBy("report_id")
-    rn = F.row_number().over(w)
-    return files.withColumn("arcname", F.when(rn == 1, path).otherwise(F.concat(folder, F.lit("/"), stem, F.lit("_"), (rn - 1).cast("string"), ext)))
+    ranked = rank_within(files.withColumn("__path", F.concat_ws("/", folder, name)), ["__path"], "report_id", "__rank")
+    rn = F.col("__rank")
+    return ranked.withColumn("arcname", F.when(rn == 1, F.col("__path")).otherwise(F.concat(folder, F.lit("/"), stem, F.lit("_"), (rn - 1).cast("string"), ext))).drop("__path", "__rank")

@@ -10,10 +10,11 @@ import io
 import json
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packed import packed_values
+from .ranking import one_per_key
 
 ENTRY = "seq long, category string, keyword string, variants array<string>, lang string, weight double, is_ambiguous boolean"
 # Forms that never count as keywords.
@@ -182,5 +183,4 @@ def stats(entries: DataFrame) -> DataFrame:
 
 def keep_latest(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """Upsert rule: one row for each key, the last by ``order``."""
-    w = Window.partitionBy(*keys).orderBy(order.desc())
-    return rows.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    return one_per_key(rows, keys, order, last=True)

@@ -157,7 +157,16 @@ def cluster_articles(articles: DataFrame, block: Column) -> DataFrame:
     publication window): a block is clustered in one task.
     """
     rows = articles.select(block.alias("__b"), "article_id", "source_rank", "title", "sapo", F.substring("text", 1, TEXT_USED).alias("text"))
-    return rows.groupBy("__b").applyInPandas(lambda pdf: _cluster(pdf), "article_id long, primary_id long")
+    # Exact copies are one article to the clustering; an aggregation, combined on the map side.
+    same = ["__b", "title", "sapo", "text"]
+    lead = F.min(F.struct("source_rank", "article_id"))
+    distinct = rows.groupBy(*same).agg(lead.alias("m")).select("__b", "m.article_id", "m.source_rank", "title", "sapo", "text")
+    found = distinct.groupBy("__b").applyInPandas(lambda pdf: _cluster(pdf), "article_id long, primary_id long").withColumnRenamed("article_id", "__lead")
+    leads = distinct.select(*[F.col(c).alias(f"__{c}") for c in same], F.col("article_id").alias("__lead"))
+    cond = F.lit(True)
+    for c in same:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return rows.select("article_id", *same).join(leads, cond).join(found, "__lead").select("article_id", "primary_id")
 
 
 def syndication(articles: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import one_per_key
+
 KEYS = ["ticker", "year"]
 
 
@@ -18,8 +20,7 @@ def normal_keys(df: DataFrame, ticker: str = "ticker", year: str = "year") -> Da
 
 def dedup(df: DataFrame, keys: list[str], order: Column, keep: str = "first") -> DataFrame:
     """One row for each key: the first or last by ``order``."""
-    w = Window.partitionBy(*keys).orderBy(order.asc() if keep == "first" else order.desc())
-    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    return one_per_key(df, keys, order, last=keep == "last")
 
 
 def merge_outer(left: DataFrame, *others: DataFrame, keys: list[str] = KEYS) -> DataFrame:

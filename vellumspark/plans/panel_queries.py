@@ -175,11 +175,11 @@ def company_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shingle_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Bigram Jaccard of neighbouring articles of a firm (by id)."""
+    """Bigram Jaccard of neighbouring articles of a firm and year (by id)."""
     from pyspark.sql import Window
 
-    a = _articles(spark, d).where("ticker is not null").select("ticker", "article_id", news.word_shingles(F.substring("text", 1, 2500)).alias("s"))
-    w = Window.partitionBy("ticker").orderBy("article_id")
+    a = _articles(spark, d).where("ticker is not null and year is not null").select("ticker", "year", "article_id", news.word_shingles(F.substring("text", 1, 2500)).alias("s"))
+    w = Window.partitionBy("ticker", "year").orderBy("article_id")
     return a.select("article_id", F.lag("article_id").over(w).alias("prev_id"), F.col("s"), F.lag("s").over(w).alias("p")).where("prev_id is not null").select("article_id", "prev_id", F.round(news.jaccard(F.col("s"), F.col("p")), 4).alias("jaccard"))
 
 
@@ -285,9 +285,9 @@ SELECT ticker, year, count(*) AS total_articles, count(*) AS total_articles_full
 count(*) FILTER (h > 0) AS articles_with_hits, round(count(*) FILTER (h > 0) / count(*) * 100, 2) AS hit_ratio_pct, round(sum(h) * 1000.0 / nullif(sum(w), 0), 4) AS density_per_1000, round(ln(1 + sum(h)), 6) AS log_hits FROM p GROUP BY 1, 2""",
     "news_gap_filled": _NEWS + """, c AS (SELECT ticker, year, count(*) AS n FROM a GROUP BY 1, 2), s AS (SELECT ticker, min(year) AS fy FROM a GROUP BY 1)
 SELECT k.ticker, CAST(y AS INT) AS year, coalesce(n, 0) AS total_articles FROM companies k LEFT JOIN s USING (ticker) CROSS JOIN range(2014, 2024) r(y) LEFT JOIN c ON c.ticker = k.ticker AND c.year = y WHERE y >= greatest(coalesce(fy, 2014), 2014)""",
-    "shingle_overlap": r"""WITH a AS (SELECT ticker, doc_id AS article_id, list_filter(regexp_split_to_array(lower(substring(text, 1, 2500)), '[^\p{L}\p{N}\p{M}_]+'), lambda x: x <> '') AS w FROM documents WHERE doc_kind = 'news' AND text IS NOT NULL AND ticker IS NOT NULL),
-s AS (SELECT ticker, article_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE list_distinct(w) END AS s FROM a),
-p AS (SELECT article_id, lag(article_id) OVER t AS prev_id, s, lag(s) OVER t AS q FROM s WINDOW t AS (PARTITION BY ticker ORDER BY article_id))
+    "shingle_overlap": r"""WITH a AS (SELECT ticker, year(published_at) AS yr, doc_id AS article_id, list_filter(regexp_split_to_array(lower(substring(text, 1, 2500)), '[^\p{L}\p{N}\p{M}_]+'), lambda x: x <> '') AS w FROM documents WHERE doc_kind = 'news' AND text IS NOT NULL AND ticker IS NOT NULL AND published_at IS NOT NULL),
+s AS (SELECT ticker, yr, article_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE list_distinct(w) END AS s FROM a),
+p AS (SELECT article_id, lag(article_id) OVER t AS prev_id, s, lag(s) OVER t AS q FROM s WINDOW t AS (PARTITION BY ticker, yr ORDER BY article_id))
 SELECT article_id, prev_id, round(CASE WHEN len(s) > 0 AND len(q) > 0 THEN len(list_intersect(s, q)) / len(list_distinct(list_concat(s, q))) ELSE 0.0 END, 4) AS jaccard FROM p WHERE prev_id IS NOT NULL""",
     "headcount_numbers": r"""WITH c AS (SELECT row_index, string_split(snippet, '//') AS cells FROM labor_audit_50_results WHERE snippet LIKE '%//%'),
 e AS (SELECT row_index, unnest(range(0, len(cells))) AS i, unnest(list_transform(cells, lambda x: trim(regexp_replace(x, '\s+', ' ', 'g')))) AS cell FROM c)
