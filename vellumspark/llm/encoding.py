@@ -97,6 +97,17 @@ def _plausible(letter: str | None) -> bool:
     return letter in CLEAN or letter in _FOREIGN or 0x80 <= c <= 0xFF or c in (0x300, 0x301, 0x303, 0x309, 0x31B, 0x323) or 0x2000 <= c <= 0x206F or 0xFF01 <= c <= 0xFF5E or c == 0xFEFF or c in (0x192, 0x152, 0x153, 0x160, 0x161, 0x178, 0x17D, 0x17E, 0x2C6, 0x2DC, 0x2122, 0x201A, 0x20AC)
 
 
+def _reach_back(text: str, start: int, symbol: re.Pattern, most: int = 3) -> int:
+    """The begin of the words just before ``start`` that hold a symbol, too."""
+    for _ in range(most):
+        end = start - 1
+        begin = max(text.rfind(" ", 0, max(end, 0)), text.rfind("\n", 0, max(end, 0))) + 1
+        if end <= 0 or not symbol.search(text, begin, end):
+            break
+        start = begin
+    return start
+
+
 def source_of(text: str) -> tuple[str, list[tuple[int, int]]] | None:
     """The source (shape of the symbols) of a garbled text and the spans of its symbols; None for a clean one.
 
@@ -115,7 +126,7 @@ def source_of(text: str) -> tuple[str, list[tuple[int, int]]] | None:
             a, b = m.span()
             if " " in s and a and text[a - 1].isupper() and text[b : b + 1].isupper():
                 continue  # a capital before a real non-breaking blank
-            if s[0] in _VOWELS.upper() and s[1] in "“”‘’–—…•" and (letter not in CLEAN or (a and text[a - 1].isupper())):
+            if s[0] in _VOWELS.upper() and s[1] in "“”‘’–—…•" and ((a and text[a - 1].isupper()) or (letter not in CLEAN and not text[b : b + 1].isalpha())):
                 continue  # a capital before a real sign
             spans.append((a, b))
         if spans and (best is None or len(spans) > len(best[1])):
@@ -133,6 +144,7 @@ def source_of(text: str) -> tuple[str, list[tuple[int, int]]] | None:
             b = words[-1][1]
             while b < len(text) and not text[b].isspace():
                 b += 1
+            a = _reach_back(text, a, symbol)
             return name, [m.span() for m in symbol.finditer(text, a, b)]
     hits = list(_LOSS.finditer(text)) if "?" in text else []
     if len(hits) >= 2:
@@ -299,16 +311,20 @@ def mapping(*texts: DataFrame) -> dict[str, dict[str, tuple[str, float]]]:
 _PLACE = {c: i for i, c in enumerate(LETTERS)}
 
 
-def _by_word(marked: str, to: dict[int, str], back: dict[str, str], after: dict[str, tuple[list[float], float]]) -> str:
-    """Maps the words whose letters get likelier by it; a clean word between garbled ones stays."""
+#: A word between garbled ones stays as it is only where its letters are likelier by so much (log, per letter).
+_MARGIN = 0.5
+
+
+def _by_word(marked: str, to: dict[int, str], back: dict[str, str], after: dict[str, tuple[list[float], float]], strong: re.Pattern) -> str:
+    """Maps the words that only the font writes and those that don't get much less likely by it."""
     keep = {ord(k): v for k, v in back.items()}
     out = []
     for word in re.split(r"(\s+)", marked):
         new = word.translate(to)
         old = word.translate(keep)
-        if new != old and after:
+        if new != old and after and not strong.search(old):
             score = lambda w: sum(after[a if a in after else " "][0][_PLACE.get(b, OTHER)] for a, b in zip(" " + w, w, strict=False)) / (len(w) + 1)
-            new = new if score(new) > score(old) else old
+            new = new if score(new) > score(old) - _MARGIN else old
         out.append(new)
     return "".join(out)
 
@@ -348,7 +364,7 @@ def restore(text: str, maps: dict[str, dict[str, tuple[str, float]]]) -> tuple[s
         at = b
     marked = "".join(parts) + text[at:]
     if source in ("mark", "sign"):
-        fixed = _by_word(marked, to, {v: k for k, v in stand_in.items()}, maps.get("", {}))
+        fixed = _by_word(marked, to, {v: k for k, v in stand_in.items()}, maps.get("", {}), _STRONG_MARK if source == "mark" else _STRONG_SIGN)
     else:
         fixed = marked.translate(to)
     if source in _readings() and fixed != text:

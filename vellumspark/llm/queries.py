@@ -101,5 +101,16 @@ def queries() -> dict[str, Query]:
     }
 
 
+_P4 = r"""
+WITH a AS (SELECT report_id, report_year, pdf_path, upper(regexp_replace(translate(ticker, '{wide}', '{narrow}'), '[\s\p{{Z}}\p{{Cf}}]+', '', 'g')) AS t0 FROM reports),
+b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(translate(t0, '{look}', '{latin}'), '^(?:HSX|HOSE|HNX|UPCOM|UPC|OTC)[:._/-]', ''), '[._:](?:VN|HM|HN|HO|HNX|HSX|UPCOM|UP|HOSE)$', ''), '[-_./](?:19|20)\d\d$', '') AS t1,
+ replace(upper(replace(translate(pdf_path, '{wide}', '{narrow}'), '\', '/')), '%20', ' ') AS p FROM a),
+c AS (SELECT report_id, report_year, nullif(regexp_replace(t1, '[^A-Z0-9]', '', 'g'), '') AS t, regexp_replace(regexp_extract(p, '([^/]*)$', 1), '\.[A-Z0-9]+$', '') AS stem, regexp_extract(p, '/([A-Z][A-Z0-9]{{2,4}})/[^/]*$', 1) AS folder FROM b),
+d AS (SELECT report_id, report_year, t, folder, regexp_extract(' ' || regexp_replace(regexp_replace(stem, '(?:BAO CAO THUONG NIEN|BCTN|ANNUAL REPORT|SCAN|_V\d+|\(\d+\))', ' ', 'g'), '(^|[^0-9])(?:19|20)\d\d([^0-9A-Z]|$)', '\1 \2', 'g') || ' ', '[^A-Z0-9]([A-Z][A-Z0-9]{{2,5}})[^A-Z0-9]', 1) AS code FROM c),
+f AS (SELECT report_id, report_year, coalesce(t, CASE WHEN code NOT IN ('', 'SCAN', 'BCTN', 'DATA', 'FILE', 'BAOCAO', 'INCOMING', 'ARCHIVE', 'REPORTS') THEN code END, CASE WHEN folder NOT IN ('', 'SCAN', 'BCTN', 'DATA', 'FILE', 'BAOCAO', 'INCOMING', 'ARCHIVE', 'REPORTS') THEN folder END) AS firm FROM d)
+SELECT DISTINCT x.report_id AS report_id_a, y.report_id AS report_id_b FROM f x JOIN f y ON x.firm = y.firm AND x.report_year = y.report_year AND x.report_id < y.report_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    quote = lambda t: t.replace("'", "''")
+    return {"p4_found": _P4.format(wide=survivors._WIDE, narrow=quote(survivors._NARROW), look=survivors._LOOK, latin=survivors._LATIN)}
