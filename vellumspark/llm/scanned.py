@@ -46,6 +46,7 @@ _SEPARATORS = "\"“”‘’«»;:!?/…•–—"
 _TOKEN = re.compile(rf"[^\s{_SEPARATORS}]+")
 _LINE = re.compile(r"\r\n|\n|\r")
 _BREAK = re.compile(r"(?<![^\W\d_])([^\W\d_]+)([-¬­‐])[ \t]*(?:\r\n|\n|\r)[ \t]*([^\W\d_]+)")
+_LETTERS = "abcdeghiklmnopqrstuvxy" + "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđ"
 _HYPHEN_END = re.compile(r"[-¬­‐][ \t]*[\r\n]")
 # The capitals of Vietnamese beyond A to Z.
 _CAPITALS = "ÀÁẢÃẠĂẰẮẲẴẶÂẦẤẨẪẬÈÉẺẼẸÊỀẾỂỄỆÌÍỈĨỊÒÓỎÕỌÔỒỐỔỖỘƠỜỚỞỠỢÙÚỦŨỤƯỪỨỬỮỰỲÝỶỸỴĐ"
@@ -198,6 +199,7 @@ class Knowledge:
         self.line = re.compile("|".join(f"(?:{p})" for p in line) or r"(?!)")
         self.inline = re.compile(r"(?<!\S)(?:" + "|".join(f"(?:{p})" for p in sorted(inline, key=lambda p: (-len(p), p))) + r")(?!\S)" if inline else r"(?!)")
         self.verdict: dict[str, str | None] = {}
+        self.slips: dict[str, bool] = {}
         self.judged: dict[int, bool] = {}
 
     @staticmethod
@@ -218,6 +220,20 @@ class Knowledge:
             self.verdict[token] = self._true_form(token)
         return self.verdict[token]
 
+    def misspelt(self, token: str) -> bool:
+        """Whether a token is a common word with one letter doubled or dropped: a typing error just as well as a misreading."""
+        low = token.strip(".,()%").lower()
+        if not low.isalpha():
+            return False
+        if token not in self.slips:
+            if len(self.slips) > 50_000:
+                self.slips.clear()
+            doubled = (low[:i] + low[i + 1 :] for i in range(1, len(low)) if low[i] == low[i - 1])
+            dropped = (low[:i] + c + low[i:] for i in range(len(low) + 1) for c in _LETTERS)
+            least = max(5, MISREAD_RATIO * self.common(low))
+            self.slips[token] = any(self.common(w) >= least for w in doubled) or any(self.common(w) >= least for w in dropped)
+        return self.slips[token]
+
     def _true_form(self, token: str) -> str | None:
         core = token.strip(".,)%").lstrip("(") if not token.endswith("(") else token.lstrip("(").strip(".,")
         if len(core) < 2:
@@ -383,8 +399,11 @@ def repair(text: str, know: Knowledge) -> tuple[str, bool]:
     text, furniture = _drop_furniture(text, know)
     text, broken = _join_words(text, know)
     clear = _TOKEN.sub(lambda m: know.true_form(m.group()) or m.group(), text)
-    misread = clear != text
-    text = clear
+    misread = False
+    if clear != text:
+        # a typing error alone is no noise of a scanned page, and stays
+        misread = furniture or broken or any((form := know.true_form(t)) is not None and form != t and not know.misspelt(t) for t in set(_TOKEN.findall(text)))
+        text = clear if misread else text
     if "\n" in text or "\r" in text:
         paragraphs = [p for p in re.split(r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)+", text)]
         text = "\n\n".join(re.sub(r"[ \t]*(?:\r\n|\n|\r)[ \t]*", " ", p) for p in paragraphs)
@@ -441,7 +460,7 @@ def continuous(df: DataFrame, key: str, fields: dict[str, str], know: Knowledge,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Knowledge.__new__(Knowledge)
         own.words, own.number, own.follows, line, inline, own.anchors = shared.value
-        own.line, own.inline, own.verdict, own.judged = re.compile(line), re.compile(inline), {}, {}
+        own.line, own.inline, own.verdict, own.judged, own.slips = re.compile(line), re.compile(inline), {}, {}, {}
         for batch in slices(batches, *range(1, len(labels) + 1)):
             for i, label in enumerate(labels):
                 out = []
