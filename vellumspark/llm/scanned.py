@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .chars import code_points, slices
 
 #: Least share of all words that a vocabulary word has (at most one million words).
@@ -306,7 +307,8 @@ def learn(*texts: DataFrame) -> Knowledge:
     rows = texts[0]
     for more in texts[1:]:
         rows = rows.unionAll(more)
-    counts = rows.mapInArrow(_collect, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    # Written once, since totals and thresholds both read them: the texts are passed through once.
+    counts = cut_lineage(rows.mapInArrow(_collect, "kind string, key string, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")))
     # A cumulated share bounds what is gathered: words and lines below it stay behind.
     totals = F.broadcast(counts.where("kind = 't'").groupBy().agg(
         F.coalesce(F.sum(F.when(F.col("key") == "words", F.col("n"))), F.lit(0)).alias("words"), F.coalesce(F.sum(F.when(F.col("key") == "lines", F.col("n"))), F.lit(0)).alias("lines")
