@@ -168,32 +168,50 @@ def tokens(text: Column) -> Column:
     return F.filter(out, lambda x: x["tok"] != "")
 
 
-def ngrams(t: Column, sizes: list[int]) -> Column:
-    """``ARRAY<STRUCT<n, gram>>`` of a column of tokens: runs that no clause end parts.
+def ngrams(t: Column, sizes: list[int], only: list[str] | None = None) -> Column:
+    """``ARRAY<STRUCT<n, gram>>`` of a column of tokens: runs that no clause end parts, of the words in ``only`` if given.
 
     ``t`` should be a column, not an expression, since every run refers to it.
     """
 
     def of_size(n: int) -> Column:
-        def gram(i: Column) -> Column:
-            run = F.slice(t, i, n)
-            cut = F.exists(F.slice(t, i, n - 1), lambda x: x["brk"]) if n > 1 else F.lit(False)
-            return F.struct(F.lit(n).alias("n"), F.array_join(F.transform(run, lambda x: x["tok"]), " ").alias("gram"), cut.alias("cut"))
-
         starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.filter(F.transform(starts, gram), lambda g: ~g["cut"])
+        whole = F.filter(starts, lambda i: ~F.exists(F.slice(t, i, n - 1), lambda x: x["brk"])) if n > 1 else starts
+        if only is not None:
+            whole = F.filter(whole, lambda i: F.forall(F.slice(t, i, n), lambda x: x["near"]))
+        return F.transform(whole, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.transform(F.slice(t, i, n), lambda x: x["tok"]), " ").alias("gram")))
 
     parts = [of_size(n) for n in sizes]
     return F.concat(*parts)
 
 
-def gram_counts(docs: DataFrame, key: str, text: str, sizes: list[int]) -> DataFrame:
+def gram_counts(docs: DataFrame, key: str, text: str, sizes: list[int], only: list[str] | None = None) -> DataFrame:
     """``(key, n, gram, times)``: the n-grams of every document, counted before anything is joined."""
     listed = docs.select(key, tokens(F.col(text)).alias("__t"))
-    t = listed.select(key, F.explode(ngrams(F.col("__t"), sizes)).alias("g"))
+    if only is not None:
+        listed = listed.select(key, F.transform("__t", lambda x: F.struct(x["tok"].alias("tok"), x["brk"].alias("brk"), x["tok"].isin(*only).alias("near"))).alias("__t"))
+    t = listed.select(key, F.explode(ngrams(F.col("__t"), sizes, only)).alias("g"))
     return t.select(key, "g.n", "g.gram").groupBy(key, "n", "gram").agg(F.count(F.lit(1)).alias("times"))
 
 
+#: Near words up to this number are used to thin out the n-grams; beyond it all n-grams are built.
+MAX_NEAR = 5_000
+
+
+def near_words(docs: DataFrame, text: str, forms: DataFrame) -> list[str] | None:
+    """The documents' words that resemble a word of some form (similarity of .75 or equal): only they can be part of a near miss.
+
+    Found on distinct words.  None where there are more than MAX_NEAR; the result of the search is the same without.
+    """
+    t = docs.select(tokens(F.col(text)).alias("t"))
+    seen = t.select(F.explode(F.transform("t", lambda x: x["tok"])).alias("w")).distinct().withColumn("lw", F.length("w"))
+    wanted = forms.select(F.explode(F.split(tone_normal(F.col("form")), " ")).alias("k")).where("k <> ''").distinct().withColumn("lk", F.length("k"))
+    room = F.floor(0.25 * (F.col("lw") + F.col("lk")) + 1e-9).cast("int")
+    pairs = seen.join(wanted, F.abs(F.col("lw") - F.col("lk")) <= room).where((F.col("w") == F.col("k")) | (F.levenshtein("w", "k") <= room))
+    found = [r["w"] for r in pairs.select("w").distinct().limit(MAX_NEAR + 1).collect()]
+    return sorted(found) if len(found) <= MAX_NEAR else None
+
+
 def indel_ratio(a: str, b: str) -> float:
     """2 * LCS / (len a + len b): similarity under insertions and deletions only."""
     if not a and not b:
@@ -270,6 +288,6 @@ def fuzzy_pairs(grams: DataFrame, forms: DataFrame, threshold: float = 85.0, exc
 def fuzzy_matches(docs: DataFrame, key: str, text: str, forms: DataFrame, threshold: float = 85.0, sizes: list[int] | None = None) -> DataFrame:
     """``(key, gram, canonical, category, similarity, levenshtein_distance, times)``: near misses of the forms in every document."""
     sizes = sizes or [1, 2, 3, 4, 5]
-    counted = gram_counts(docs, key, text, sizes)
+    counted = gram_counts(docs, key, text, sizes, near_words(docs, text, forms))
     pairs = fuzzy_pairs(counted.select("n", "gram"), forms, threshold)
     return counted.join(pairs, "gram").select(key, "gram", "canonical", "category", F.round("similarity", 4).alias("similarity"), "levenshtein_distance", "times")
