@@ -177,7 +177,7 @@ regexp_extract(s, '^([A-Z][A-Z0-9]{2,5})[ _-]+(\d\d)(?:[ _-]|$)', 1) AS t3, rege
 SELECT report_id, coalesce(nullif(t1, ''), nullif(t2, ''), nullif(t3, '')) AS ticker, CAST(coalesce(CAST(nullif(y1, '') AS INT), CAST(nullif(y2, '') AS INT), CASE WHEN CAST(nullif(y3, '') AS INT) < 50 THEN 2000 + CAST(nullif(y3, '') AS INT) ELSE 1900 + CAST(nullif(y3, '') AS INT) END) AS INT) AS year FROM g""",
     "build_variables": _HITS + r""", s AS (SELECT doc_id, sum(n) AS n, count(DISTINCT canonical) AS u, coalesce(sum(n) FILTER (category = 'an_toan'), 0) AS a FROM h GROUP BY 1), w AS (SELECT doc_id, text, len(list_filter(regexp_split_to_array(text, '[\s\p{Z}]+'), lambda x: x <> '')) AS wc FROM c WHERE text IS NOT NULL)
 SELECT w.doc_id, CAST(coalesce(n, 0) AS DOUBLE) AS ai_freq, CAST(coalesce(u, 0) AS DOUBLE) AS ai_div, CASE WHEN wc > 0 THEN round(coalesce(a, 0) / wc * 10000, 6) ELSE 0.0 END AS safe_score,
-CASE WHEN contains(lower(text), 'đầu tư') OR contains(lower(text), 'invest') THEN 1.0 ELSE 0.0 END AS invests, CASE WHEN length(text) > 1000 THEN 1.0 ELSE 0.0 END AS long_text FROM w LEFT JOIN s USING (doc_id)""",
+CASE WHEN contains(lower(text), 'đầu tư') OR contains(lower(text), 'invest') THEN 1.0::DOUBLE ELSE 0.0 END AS invests, CASE WHEN length(text) > 1000 THEN 1.0::DOUBLE ELSE 0.0 END AS long_text FROM w LEFT JOIN s USING (doc_id)""",
     "rule_labels": _HITS + r""", s AS (SELECT doc_id, sum(n) AS n FROM h GROUP BY 1), t AS (SELECT doc_id, lower(text) AS t FROM c WHERE text IS NOT NULL),
 r AS (SELECT t.doc_id, coalesce(n, 0) AS n, CAST(contains(t, 'mục tiêu') AS INT) + CAST(contains(t, 'target') AS INT) AS p, CAST(contains(t, 'rủi ro') AS INT) + CAST(contains(t, 'risk') AS INT) AS k, CAST(contains(t, 'hoàn tất') AS INT) + CAST(contains(t, 'completed') AS INT) AS a FROM t LEFT JOIN s USING (doc_id))
 SELECT doc_id, CASE WHEN n = 0 THEN 'none' WHEN greatest(p, k, a) = 0 THEN 'talk' WHEN p = greatest(p, k, a) THEN 'plan' WHEN k = greatest(p, k, a) THEN 'risk' ELSE 'act' END AS label, greatest(p, k, a) AS n_triggers,
