@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -38,7 +40,12 @@ def scratch_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='vellum-')}"
+        if held.isDefined():
+            base = held.get()
+        else:  # a single node without the setting: a temporary folder, removed when the process ends
+            folder = tempfile.mkdtemp(prefix="vellum-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            base = f"file://{folder}"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/vellum-{uuid.uuid4().hex}"
@@ -72,7 +79,6 @@ def ship_package(spark: SparkSession) -> None:
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
-    import shutil
     from pathlib import Path
 
     here = Path(__file__).resolve().parent
