@@ -40,7 +40,16 @@ def _encoder(path: str, pattern: str):
     if (path, pattern) not in _LOADED:
         import tiktoken
 
-        with open(path, "rb") as file:
+        if not os.path.exists(path):
+            try:  # the same files, where the installed package holds them
+                import public_tokenizers
+
+                path_of = public_tokenizers.path(os.path.basename(path))
+            except ImportError:
+                path_of = path
+        else:
+            path_of = path
+        with open(path_of, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         _LOADED[path, pattern] = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return _LOADED[path, pattern]
