@@ -70,6 +70,19 @@ class TestEncoding:
         bad = VI.encode().decode("latin-1").encode().decode("latin-1")
         assert encoding.restore(bad, self.maps(bad))[0] == VI
 
+    def test_lost_byte_and_capitals(self):
+        # cp1258 leaves bytes undefined: U+FFFD stands for the last byte of đ's capital and of several vowels
+        byte = {v: k for k, v in encoding._readings()["cp1258"][0].items()}
+        undefined = (0x81, 0x8A, 0x8D, 0x8E, 0x8F, 0x90, 0x9A, 0x9D, 0x9E, 0x9F)
+        bad = "".join(chr(b) if b < 0x80 else "\ufffd" if b in undefined else byte[b] for b in VI.encode())
+        assert "Ä\ufffd" in bad
+        maps = self.maps(*[bad] * 20)
+        text, source, _ = encoding.restore(bad, maps)
+        assert text == VI and source in encoding._readings()
+        assert encoding.restore("Ä\ufffdÆ¡n vá»‹", maps) == ("Đơn vị", "cp1252", True)
+        assert encoding.restore("tá»‘ chá»©c ngÆ°á»\ufffdi", maps)[2] is False
+        assert encoding.restore("CÃ”NG TY LáºªCH, LáºCH Tá»•".replace("LáºCH", "Láº\u00a0CH"), maps)[0] == "CÔNG TY LẪCH, LẠCH Tổ"
+
     def test_lost_and_clean(self):
         maps = self.maps()
         assert encoding.restore("L?c l??ng nhân s? bình quân c?a n?m", maps)[1:] == ("lost", False)

@@ -11,7 +11,8 @@ Two narrow passes over the texts, no shuffle of texts: the first counts symbol
 pairs (their number is bounded by the alphabets, combined on the map side), the
 second maps.  Only the pair counts reach the driver.  An exact check follows the
 mapping for multi-byte symbols: where the bytes of a symbol form a valid letter,
-that letter is taken.
+that letter is taken.  Where one byte was lost (U+FFFD in its place), the letters
+that the other bytes allow are weighed by the learned bigrams with both neighbours.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ EM_ROUNDS = 60
 #: Readings: code pages under which bytes of a multi-byte letter may have been read.
 CODE_PAGES = ("cp1252", "cp1258", "cp437", "mac_roman", "cp850")
 LOST = "�"
+# The bytes that cp1252 or cp1258 leaves undefined.
+_UNDEFINED = (0x81, 0x8A, 0x8D, 0x8E, 0x8F, 0x90, 0x9A, 0x9D, 0x9E, 0x9F)
 
 
 @lru_cache(maxsize=1)
@@ -80,6 +83,34 @@ _LOSS = re.compile(r"\w\?+\w|(?<![^\s(“])\?+[^\W\d]|\w\?\?|\?\?\w")
 _NOT_CLEAN = re.compile("[^" + re.escape("".join(sorted(CLEAN))) + "]")
 
 
+@lru_cache(maxsize=1)
+def _torn() -> dict[str, re.Pattern]:
+    """For the code pages with undefined bytes: the pattern of a multi-byte letter one byte of which was lost."""
+    out = {}
+    for page in ("cp1252", "cp1258"):
+        byte = _readings()[page][0]
+        span = lambda lo, hi: "[" + "".join(re.escape(c) for c, b in byte.items() if lo <= b <= hi) + "]"  # noqa: E731,B023
+        cont = span(0x80, 0xBF)
+        out[page] = re.compile(f"{span(0xC2, 0xDF)}{LOST}|{span(0xE0, 0xEF)}(?:{cont}{LOST}|{LOST}{cont})")
+    return out
+
+
+@lru_cache(maxsize=4096)
+def torn_letters(symbol: str, page: str) -> tuple[str, ...]:
+    """The letters of the alphabet that ``symbol`` may show: U+FFFD stands for a byte that the code pages leave undefined."""
+    if page not in _torn() or symbol.count(LOST) != 1:
+        return ()
+    found = set()
+    for b in _UNDEFINED:
+        try:
+            letter = bytes(b if c == LOST else _readings()[page][0][c] for c in symbol).decode("utf-8")
+        except (KeyError, UnicodeDecodeError):
+            continue
+        if letter in _VOWELS or letter in _VOWELS.upper():
+            found.add(letter)
+    return tuple(sorted(found))
+
+
 def exact(symbol: str, page: str) -> str | None:
     """The letter whose UTF-8 bytes ``symbol`` shows under ``page``, if it is a plausible one."""
     try:
@@ -112,23 +143,30 @@ def source_of(text: str) -> tuple[str, list[tuple[int, int]]] | None:
     """The source (shape of the symbols) of a garbled text and the spans of its symbols; None for a clean one.
 
     Texts written under a multi-byte code page hold whole multi-byte patterns; the page that explains most is
-    taken.  Font texts must hold at least two words that no clean text writes; their symbols lie between the
+    taken; in such a text symbols with a lost byte and capitals that look like one before a real sign belong to them.
+    Font texts must hold at least two words that no clean text writes; their symbols lie between the
     first and the last such word.  Texts with lost letters hold replacement or question marks inside words.
     """
     best: tuple[str, list[tuple[int, int]]] | None = None
     for page, (byte, pattern) in _readings().items():
-        spans = []
+        spans, doubtful = [], []
         for m in pattern.finditer(text):
             s = m.group()
             letter = exact(s, page)
             if not _plausible(letter):
                 continue
             a, b = m.span()
-            if " " in s and a and text[a - 1].isupper() and text[b : b + 1].isupper():
+            if " " in s and len(s) == 2 and a and text[a - 1].isupper() and text[b : b + 1].isupper():
                 continue  # a capital before a real non-breaking blank
             if s[0] in _VOWELS.upper() and s[1] in "“”‘’–—…•" and ((a and text[a - 1].isupper()) or (letter not in CLEAN and not text[b : b + 1].isalpha())):
+                if letter in CLEAN and letter.isupper() and text[b : b + 1].isalpha():
+                    doubtful.append((a, b))
                 continue  # a capital before a real sign
             spans.append((a, b))
+        if spans:
+            if LOST in text and page in _torn():
+                doubtful += [m.span() for m in _torn()[page].finditer(text) if torn_letters(m.group(), page)]
+            spans = sorted(spans + doubtful)
         if spans and (best is None or len(spans) > len(best[1])):
             best = page, spans
     if LOST in text:
@@ -329,11 +367,28 @@ def _by_word(marked: str, to: dict[int, str], back: dict[str, str], after: dict[
     return "".join(out)
 
 
+def _by_neighbours(marked: str, unsure: dict[str, tuple[str, ...]], after: dict[str, tuple[list[float], float]]) -> str:
+    """Sets each stand-in in ``unsure`` to its likeliest letter between its neighbours; one below SURE stays."""
+    out = list(marked)
+    for i, c in enumerate(out):
+        if c not in unsure:
+            continue
+        left = out[i - 1] if i else " "
+        right = out[i + 1] if i + 1 < len(out) else " "
+        log = lambda a, b: after[a if a in after else " "][0][SPACE if b.isspace() else _PLACE.get(b, OTHER)]
+        score = np.array([log(left, x) + (0.0 if right in unsure else log(x, right)) for x in unsure[c]])
+        share = np.exp(score - score.max())
+        if share.max() >= SURE * share.sum():
+            out[i] = unsure[c][int(share.argmax())]
+    return "".join(out)
+
+
 def restore(text: str, maps: dict[str, dict[str, tuple[str, float]]]) -> tuple[str | None, str, bool] | None:
     """(restored text, source, whole): None for a clean text.
 
     The symbols of the source are given one stand-in character each and mapped with ``translate``.  ``whole`` is
-    false where a symbol has no sure letter; such symbols stay as they are.  Twice-garbled texts are restored twice.
+    false where a symbol has no sure letter; such symbols stay as they are.  A symbol with a lost byte takes the letter
+    that its bytes and neighbours leave, and counts as sure only where the bytes leave one.  Twice-garbled texts are restored twice.
     """
     found = source_of(text)
     if not found:
@@ -348,14 +403,20 @@ def restore(text: str, maps: dict[str, dict[str, tuple[str, float]]]) -> tuple[s
         return text, source, False
     stand_in: dict[str, str] = {}
     to: dict[int, str] = {}
-    whole = LOST not in text
+    unsure: dict[str, tuple[str, ...]] = {}
+    whole = text.count(LOST) == sum(LOST in text[a:b] for a, b in spans)
     parts, at = [], 0
     for a, b in spans:
         s = text[a:b]
         if s not in stand_in:
             stand_in[s] = chr(0xF0000 + len(stand_in))
             letter = exact(s, source) if source in _readings() else None  # the exact check
-            if not _plausible(letter):
+            torn = torn_letters(s, source) if LOST in s else ()
+            if len(torn) == 1:
+                letter = torn[0]
+            elif torn:
+                unsure[stand_in[s]], letter, whole = torn, stand_in[s], False
+            elif not _plausible(letter):
                 letter, sure = learned.get(s, (s, 0.0))
                 if sure < SURE:
                     letter, whole = s, False
@@ -367,6 +428,9 @@ def restore(text: str, maps: dict[str, dict[str, tuple[str, float]]]) -> tuple[s
         fixed = _by_word(marked, to, {v: k for k, v in stand_in.items()}, maps.get("", {}), _STRONG_MARK if source == "mark" else _STRONG_SIGN)
     else:
         fixed = marked.translate(to)
+    if unsure:
+        fixed = _by_neighbours(fixed, unsure, maps[""]) if "" in maps else fixed
+        fixed = fixed.translate({ord(c): s for s, c in stand_in.items() if c in unsure})
     if source in _readings() and fixed != text:
         again = source_of(fixed)
         if again and again[0] in _readings():
