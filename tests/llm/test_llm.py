@@ -183,6 +183,33 @@ class TestSurvivors:
         assert len(out) == 4 and out["ABC1", 2020].total_pages == 3
         assert survivors.survivors(self.rows(spark).limit(0), sources).count() == 0
 
+    def test_files_that_differ_in_scanned_only(self, spark):
+        at = pd.Timestamp("2021-01-01").to_pydatetime()
+        rows = [(1, None, "ABC1", 2019, "ABC1_2019.pdf", None, 80, None, False, "a", "a", "one", at, "z"), (2, None, "ABC1", 2019, "ABC1_2019_BCTN.pdf", None, 81, 9, True, "b", "b", "two", at, "z")]
+        sources = spark.createDataFrame([("one", 1), ("two", 2)], "source string, trust_rank int")
+        out = survivors.survivors(spark.createDataFrame(rows, self.COLUMNS), sources).collect()
+        assert [(r.file_report_id, r.total_pages, r.is_scanned, r.total_words) for r in out] == [(2, 81, True, 9)]
+
+    def test_pre_aggregation_loses_no_choice(self, spark):
+        r = random.Random(11)
+        at = pd.Timestamp("2021-01-01").to_pydatetime()
+        rows, rank = [], {f"s{k}": k for k in range(6)}
+        for i in range(240):
+            firm = f"AB{i // 6}X"
+            path = r.choice([None, f"{firm}_2019.pdf", f"{firm}_2018.pdf", "incoming/1.pdf"])
+            rows.append((i, r.choice([None, 5]), r.choice([firm, "HSX:" + firm]), 2019, path, None, r.choice([None, 10 + i]), r.choice([None, i]), r.choice([None, True, False]), "a", "a", r.choice(list(rank)), at, "z"))
+        sources = spark.createDataFrame(list(rank.items()), "source string, trust_rank int")
+        out = {x.firm: x for x in survivors.survivors(spark.createDataFrame(rows, self.COLUMNS), sources).collect()}
+        trust = lambda x: 1 / (1 + rank[x[11]])
+        file = lambda x: 2 * trust(x) + 2 * (x[6] is not None) + 2 * (x[4] is not None) + (x[4] is not None and x[4][0] == "A")
+        content = lambda x: trust(x) + (x[7] is not None)
+        for firm, got in out.items():
+            group = [x for x in rows if x[2].endswith(firm)]
+            pairs = [(file(f) + content(c), f, c) for f in group if not (f[4] or "").endswith("2018.pdf") for c in group if None in (f[8], c[8]) or f[8] == c[8]]
+            if pairs:
+                best = max(p[0] for p in pairs)
+                assert any(abs(w - best) < 1e-9 and f[0] == got.file_report_id and c[7] == got.total_words for w, f, c in pairs), firm
+
     def test_search_is_exhaustive(self):
         r = random.Random(5)
         for _ in range(200):

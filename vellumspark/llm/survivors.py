@@ -8,7 +8,8 @@ trust under functional dependencies (the path of the chosen file must name the
 chosen firm and year, its pages must be known) by branch and bound.
 
 Candidates are pre-aggregated per (group, bundle, signature): the constraints
-see only a bundle's signature, a handful of flags, so a group reaches the
+see only a bundle's signature, a handful of flags (``is_scanned`` among those of
+file and content, which must agree), so a group reaches the
 search as at most ``MAX_SIGNATURES`` candidates per bundle, however many rows it
 has.  No group is ever collected whole.
 """
@@ -19,8 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Flags of a signature: bundle-specific, four bits at most.
-MAX_SIGNATURES = 16
+#: Signatures of a bundle at most: the file's four flags and its is_scanned (true, false, null).
+MAX_SIGNATURES = 48
 #: Full-width capitals, digits and signs and their ASCII forms.
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
@@ -162,7 +163,7 @@ def survivors(reports: DataFrame, sources: DataFrame) -> DataFrame:
     rows = rows.select(
         "*",
         (none_false("__clean").cast("int") + 2 * F.col("company_id").isNotNull().cast("int")).alias("__sf"),
-        (F.col("firm_ok").cast("int") + 2 * F.col("year_ok").cast("int") + 4 * none_false("__paged").cast("int") + 8 * F.col("pdf_path").isNotNull().cast("int")).alias("__sp"),
+        (F.col("firm_ok").cast("int") + 2 * F.col("year_ok").cast("int") + 4 * none_false("__paged").cast("int") + 8 * F.col("pdf_path").isNotNull().cast("int") + 16 * F.coalesce(F.col("is_scanned").cast("int"), F.lit(2))).alias("__sp"),
         (F.coalesce(F.col("is_scanned").cast("int"), F.lit(2)) + 3 * F.col("total_words").isNotNull().cast("int")).alias("__sc"),
     )
     wf = F.col("__trust") + none_false("__clean").cast("int") * 2 + F.col("company_id").isNotNull().cast("int") * 0.5
