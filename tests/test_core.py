@@ -136,6 +136,24 @@ class TestMatching:
         got = matching.fuzzy_matches(docs, "id", "text", forms, sizes=[1, 2]).collect()
         assert [(r.id, r.gram, r.canonical, r.levenshtein_distance, r.times) for r in got] == [(1, "smart pipelie", "smart pipeline", 1, 1)]
 
+    def test_queries_search_variants(self, spark, tmp_path):
+        from vellumspark.plans import text_queries
+
+        keywords = [(1, "mang", "smart grid", "smart grids | SG / lưới thông minh", "en", 1.0, False), (2, "quy", "cảm biến biên", None, "vi", None, None)]
+        spark.createDataFrame(keywords, "keyword_id long, category string, keyword string, variants string, lang string, weight double, is_ambiguous boolean").write.parquet(f"{tmp_path}/keywords.parquet")
+        texts = ["Two smart grids and a Smart Grid.", "Lưới  thông minh, cảm biến biên; SG but not sg.", "nothing", None]
+        rows = [(i, "exact", 7, pd.Timestamp("2021-01-01").to_pydatetime(), t) for i, t in enumerate(texts)]
+        spark.createDataFrame(rows, "snippet_id long, match_type string, report_id long, created_at timestamp, context_text string").write.parquet(f"{tmp_path}/snippets.parquet")
+        run = lambda name: text_queries.QUERIES[name](spark, str(tmp_path)).collect()
+        spans = sorted((r.doc_id, r.keyword_found, r.keyword_canonical) for r in run("match_spans"))
+        assert spans == [(0, "Smart Grid", "smart grid"), (0, "smart grids", "smart grid"), (1, "Lưới  thông minh", "smart grid"), (1, "SG", "smart grid"), (1, "cảm biến biên", "cảm biến biên")]
+        assert len(run("match_contexts")) == len(run("char_snippets")) == 5
+        assert {(r.category, r.frequency, r.documents) for r in run("keyword_panel_all_forms")} == {("mang", 4, 2), ("quy", 1, 1)}
+        assert sum(r.frequency for r in run("keyword_counts_all_forms")) == 5 and len(run("dictionary_forms_all_forms")) == 5
+        # the names that have SQL search what their SQL searches
+        assert {(r.category, r.frequency, r.documents) for r in run("keyword_panel")} == {("mang", 1, 1), ("quy", 1, 1)}
+        assert len(run("dictionary_forms")) == 2
+
     def test_sentences(self, spark):
         text = "Ông PGS. An ở TP. HCM tăng 6.5 % năm nay. Xong! Thật? Hết."
         got = one(spark, text, contexts.sentences(F.col("x")))

@@ -128,15 +128,16 @@ def exact_matches(docs: DataFrame, text: str, forms: DataFrame) -> DataFrame:
     return docs.withColumn("matches", find(tone_normal(F.col(text))))
 
 
-_SCANNERS: dict[int, Scanner] = {}
+#: The worker's last scanner by the broadcast it was built of, kept beside it so that no later one takes its id.
+_SCANNERS: dict[int, tuple[object, Scanner]] = {}
 
 
 def _scanner(shared) -> Scanner:
     key = id(shared)
     if key not in _SCANNERS:
         _SCANNERS.clear()
-        _SCANNERS[key] = Scanner(shared.value)
-    return _SCANNERS[key]
+        _SCANNERS[key] = shared, Scanner(shared.value)
+    return _SCANNERS[key][1]
 
 
 def resolve_overlaps(matches: Column) -> Column:

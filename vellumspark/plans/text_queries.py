@@ -1,7 +1,14 @@
-"""Queries of dictionary mining over documents, and their SQL."""
+"""Queries of dictionary mining over documents, and their SQL.
+
+The queries search every form of the dictionary, variants included.  Those in ``WITH_SQL`` are also registered under the
+name that their SQL fixes, over the canonical keywords alone, as that SQL does not unpack the variants; the query of the
+whole dictionary has the suffix ``_all_forms``.
+"""
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,42 +29,42 @@ def _passages(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "snippets").select("snippet_id", "match_type", "report_id", "created_at", "context_text")).select(F.col("snippet_id").alias("doc_id"), F.col("match_type").alias("source"), "report_id", F.col("created_at").alias("published_at"), F.col("context_text").alias("text"))
 
 
-def _forms(spark: SparkSession, d: str) -> DataFrame:
-    return dictionary.forms(dictionary.from_table(table(spark, d, "keywords")), include_variants=False)
+def _forms(spark: SparkSession, d: str, variants: bool = True) -> DataFrame:
+    return dictionary.forms(dictionary.from_table(table(spark, d, "keywords")), include_variants=variants)
 
 
-def _matched(spark: SparkSession, d: str) -> DataFrame:
-    docs = matching.exact_matches(_passages(spark, d), "text", _forms(spark, d))
+def _matched(spark: SparkSession, d: str, variants: bool = True) -> DataFrame:
+    docs = matching.exact_matches(_passages(spark, d), "text", _forms(spark, d, variants))
     return docs.withColumn("matches", matching.resolve_overlaps(F.col("matches")))
 
 
-def keyword_panel(spark: SparkSession, d: str) -> DataFrame:
-    """Flagship: matches of the whole dictionary in whole texts, by source and category."""
-    m = _matched(spark, d).select("source", "doc_id", F.explode("matches").alias("m"))
+def keyword_panel(spark: SparkSession, d: str, variants: bool = True) -> DataFrame:
+    """Flagship: matches of the dictionary in whole texts, by source and category; of its canonical keywords alone without ``variants``."""
+    m = _matched(spark, d, variants).select("source", "doc_id", F.explode("matches").alias("m"))
     return m.groupBy("source", F.col("m.category").alias("category")).agg(F.count(F.lit(1)).alias("frequency"), F.countDistinct("doc_id").alias("documents"), F.countDistinct("m.keyword_canonical").alias("unique_keywords"))
 
 
-def keyword_counts(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.long_counts(_matched(spark, d).where("report_id is not null and published_at is not null").withColumn("year", F.year("published_at")), ["report_id", "year"])
+def keyword_counts(spark: SparkSession, d: str, variants: bool = True) -> DataFrame:
+    return metrics.long_counts(_matched(spark, d, variants).where("report_id is not null and published_at is not null").withColumn("year", F.year("published_at")), ["report_id", "year"])
 
 
-def core_variables(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.core_variables(_matched(spark, d), ["doc_id"], F.coalesce(tx.word_count(F.col("text")), F.lit(0)))
+def core_variables(spark: SparkSession, d: str, variants: bool = True) -> DataFrame:
+    return metrics.core_variables(_matched(spark, d, variants), ["doc_id"], F.coalesce(tx.word_count(F.col("text")), F.lit(0)))
 
 
-def category_columns(spark: SparkSession, d: str) -> DataFrame:
-    counts = metrics.long_counts(_matched(spark, d), ["doc_id"])
+def category_columns(spark: SparkSession, d: str, variants: bool = True) -> DataFrame:
+    counts = metrics.long_counts(_matched(spark, d, variants), ["doc_id"])
     return metrics.category_frequencies(counts, ["doc_id"], ["an_toan", "chuoi_cung_ung", "cong_nghe", "moi_truong", "quan_tri", "tai_chinh_so"], "topic")
 
 
-def category_scores(spark: SparkSession, d: str) -> DataFrame:
-    docs = _matched(spark, d)
+def category_scores(spark: SparkSession, d: str, variants: bool = True) -> DataFrame:
+    docs = _matched(spark, d, variants)
     totals = docs.select("doc_id", F.coalesce(tx.word_count(F.col("text")), F.lit(0)).alias("Word_Count"))
     return metrics.normalised_scores(metrics.long_counts(docs, ["doc_id"]), totals, ["doc_id"])
 
 
-def match_summary(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.summary(metrics.long_counts(_matched(spark, d), ["doc_id"]))
+def match_summary(spark: SparkSession, d: str, variants: bool = True) -> DataFrame:
+    return metrics.summary(metrics.long_counts(_matched(spark, d, variants), ["doc_id"]))
 
 
 def match_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -83,17 +90,17 @@ def sentence_counts(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).where("text is not null").select("doc_id", F.size(contexts.sentences(F.col("text"))).alias("n_sentences"))
 
 
-def variables(spark: SparkSession, d: str) -> DataFrame:
+def variables(spark: SparkSession, d: str, variants: bool = True) -> DataFrame:
     spec = [
         {"name": "ai_freq", "type": "frequency"}, {"name": "ai_div", "type": "diversity"}, {"name": "safe_score", "type": "normalized_score", "categories": ["an_toan"]},
         {"name": "invests", "type": "classification", "triggers": ["đầu tư", "invest"], "text": "text"}, {"name": "long_text", "type": "custom", "formula": "length(text) > 1000"},
     ]
-    return metrics.build_variables(_matched(spark, d).where("text is not null"), ["doc_id"], spec, tx.word_count(F.col("text")))
+    return metrics.build_variables(_matched(spark, d, variants).where("text is not null"), ["doc_id"], spec, tx.word_count(F.col("text")))
 
 
-def rule_labels(spark: SparkSession, d: str) -> DataFrame:
+def rule_labels(spark: SparkSession, d: str, variants: bool = True) -> DataFrame:
     rules = spark.createDataFrame([("plan", 0, "mục tiêu"), ("plan", 0, "target"), ("risk", 1, "rủi ro"), ("risk", 1, "risk"), ("act", 2, "hoàn tất"), ("act", 2, "completed")], "rule string, rule_order int, trigger string")
-    return metrics.classify_by_rules(_matched(spark, d).where("text is not null"), "doc_id", "text", rules)
+    return metrics.classify_by_rules(_matched(spark, d, variants).where("text is not null"), "doc_id", "text", rules)
 
 
 def word_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -113,8 +120,8 @@ def file_names(spark: SparkSession, d: str) -> DataFrame:
     return p.select("report_id", "p.ticker", "p.year")
 
 
-def dictionary_forms(spark: SparkSession, d: str) -> DataFrame:
-    return _forms(spark, d)
+def dictionary_forms(spark: SparkSession, d: str, variants: bool = True) -> DataFrame:
+    return _forms(spark, d, variants)
 
 
 def dictionary_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -132,11 +139,15 @@ def fingerprint_groups(spark: SparkSession, d: str) -> DataFrame:
     return docs.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1").select("first_doc", "n")
 
 
-QUERIES = {
+#: Queries whose SQL searches the canonical keywords only.
+WITH_SQL = {
     "keyword_panel": keyword_panel, "keyword_counts": keyword_counts, "core_variables": core_variables, "category_columns": category_columns, "category_scores": category_scores,
-    "match_summary": match_summary, "match_spans": match_spans, "match_contexts": match_contexts, "char_snippets": char_snippets, "fuzzy_keywords": fuzzy_keywords, "sentence_counts": sentence_counts,
-    "build_variables": variables, "rule_labels": rule_labels, "word_counts": word_counts, "strip_accents": plain_letters, "tone_places": tone_places, "parse_filename": file_names,
-    "dictionary_forms": dictionary_forms, "dictionary_stats": dictionary_stats, "dictionary_merge": dictionary_merge, "fingerprint_groups": fingerprint_groups,
+    "match_summary": match_summary, "build_variables": variables, "rule_labels": rule_labels, "dictionary_forms": dictionary_forms,
+}
+QUERIES = {name: partial(query, variants=False) for name, query in WITH_SQL.items()} | {f"{name}_all_forms": query for name, query in WITH_SQL.items()} | {
+    "match_spans": match_spans, "match_contexts": match_contexts, "char_snippets": char_snippets, "fuzzy_keywords": fuzzy_keywords, "sentence_counts": sentence_counts,
+    "word_counts": word_counts, "strip_accents": plain_letters, "tone_places": tone_places, "parse_filename": file_names,
+    "dictionary_stats": dictionary_stats, "dictionary_merge": dictionary_merge, "fingerprint_groups": fingerprint_groups,
 }
 
 
