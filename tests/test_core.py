@@ -136,6 +136,22 @@ class TestMatching:
         got = matching.fuzzy_matches(docs, "id", "text", forms, sizes=[1, 2]).collect()
         assert [(r.id, r.gram, r.canonical, r.levenshtein_distance, r.times) for r in got] == [(1, "smart pipelie", "smart pipeline", 1, 1)]
 
+    def test_fuzzy_sizes_of_the_forms(self, spark, tmp_path):
+        from vellumspark.plans import text_queries
+
+        keywords = [(1, "a", "nền tảng quản trị số hóa", "blockchain", "vi", 1.0, False)]
+        spark.createDataFrame(keywords, "keyword_id long, category string, keyword string, variants string, lang string, weight double, is_ambiguous boolean").write.parquet(f"{tmp_path}/keywords.parquet")
+        spark.createDataFrame([(1, "e", 7, None, "Một nền tảng quản trj số hóa trên blokchain."), (2, "e", 7, None, None)], "snippet_id long, match_type string, report_id long, created_at timestamp, context_text string").write.parquet(f"{tmp_path}/snippets.parquet")
+        got = text_queries.QUERIES["fuzzy_keywords"](spark, str(tmp_path)).collect()
+        # a word of three letters or less must agree to .85, so the six-word form needs a longer word misspelt
+        assert {(r.doc_id, r.gram, r.canonical) for r in got} == {(1, "blokchain", "nền tảng quản trị số hóa")}
+        spark.createDataFrame([(1, "e", 7, None, "Một nền tảngg quản trị số hóa.")], "snippet_id long, match_type string, report_id long, created_at timestamp, context_text string").write.parquet(f"{tmp_path}/b/snippets.parquet")
+        spark.read.parquet(f"{tmp_path}/keywords.parquet").write.parquet(f"{tmp_path}/b/keywords.parquet")
+        got = text_queries.QUERIES["fuzzy_keywords"](spark, f"{tmp_path}/b").collect()
+        assert [(r.gram, r.times) for r in got] == [("nền tảngg quản trị số hóa", 1)]
+        none = spark.createDataFrame([("ab", "ab", "t")], "form string, canonical string, category string")
+        assert matching.fuzzy_matches(spark.createDataFrame([(1, "ab ac")], "id int, text string"), "id", "text", none).count() == 0
+
     def test_queries_search_variants(self, spark, tmp_path):
         from vellumspark.plans import text_queries
 

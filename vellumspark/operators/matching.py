@@ -287,8 +287,15 @@ def fuzzy_pairs(grams: DataFrame, forms: DataFrame, threshold: float = 85.0, exc
 
 
 def fuzzy_matches(docs: DataFrame, key: str, text: str, forms: DataFrame, threshold: float = 85.0, sizes: list[int] | None = None) -> DataFrame:
-    """``(key, gram, canonical, category, similarity, levenshtein_distance, times)``: near misses of the forms in every document."""
-    sizes = sizes or [1, 2, 3, 4, 5]
+    """``(key, gram, canonical, category, similarity, levenshtein_distance, times)``: near misses of the forms in every document.
+
+    Without ``sizes`` n-grams of every word count that occurs among the forms are built.
+    """
+    if sizes is None:
+        # Bounded by the longest form's words.
+        sizes = sorted(r["n"] for r in forms.where(F.length("form") >= 6).select(F.size(F.split("form", " ")).alias("n")).distinct().collect())
+    if not sizes:
+        sizes = [1]  # no form is long enough: nothing is found
     counted = gram_counts(docs, key, text, sizes, near_words(docs, text, forms))
     pairs = fuzzy_pairs(counted.select("n", "gram"), forms, threshold)
     return counted.join(pairs, "gram").select(key, "gram", "canonical", "category", F.round("similarity", 4).alias("similarity"), "levenshtein_distance", "times")

@@ -83,7 +83,7 @@ def char_snippets(spark: SparkSession, d: str) -> DataFrame:
 
 def fuzzy_keywords(spark: SparkSession, d: str) -> DataFrame:
     docs = _passages(spark, d).where("text is not null")
-    return matching.fuzzy_matches(docs, "doc_id", "text", _forms(spark, d), sizes=[2, 3, 4, 5])
+    return matching.fuzzy_matches(docs, "doc_id", "text", _forms(spark, d))
 
 
 def sentence_counts(spark: SparkSession, d: str) -> DataFrame:
