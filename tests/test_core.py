@@ -54,6 +54,16 @@ class TestPacked:
         assert len(rows) == 5004 and {(r.pos, r.item) for r in rows if r.record_key == "k"} == {(1, "a"), (2, "b")}
         assert split_packed(df.limit(0), F.col("key"), F.col("v"), "t.v").count() == 0
 
+    @pytest.mark.parametrize(("a", "b"), [('"', '"'), ("“", "”"), ("'", "'"), ("«", "»")])
+    def test_long_values(self, spark, a, b):
+        long = "x, " * 33_000 + "y"
+        assert one(spark, f"{a}{long}{b}; z", packed_values(F.col("x"))) == [long, "z"]
+        assert one(spark, f"{a}{long}{b}; {SECTORS[2]}", packed_values(F.col("x"), SECTORS)) == [long, SECTORS[2]]
+        assert one(spark, f"{a}q, z", packed_values(F.col("x"))) == [f"{a}q", "z"]
+        assert len(one(spark, f"{a}{'w; ' * 33_000}z", packed_values(F.col("x")))) == 33_001
+        doubled = '"' + 'p""' * 30_000 + '"'
+        assert one(spark, f"{doubled}|z", packed_values(F.col("x"))) == ['p"' * 30_000, "z"]
+
     def test_random_round_trip(self, spark):
         r = random.Random(7)
         cases = []

@@ -23,7 +23,7 @@ SPACED = r"(?<=\s)[/\-–—](?=[\s\ue000])"
 #: A quoted span fills a whole place: it starts at the beginning or after a delimiter and ends before one.
 _START = r"(?:^|(?<=[|;,\t\r\n])|(?<=\s[/\-–—])|(?<=^[\-*•]))[  ]*"
 _END = r"(?=[  ]*(?:$|[|;,\t\r\n]|\s[/\-–—](?:\s|$)))"
-_QUOTED = rf'"(?:[^"]|"")*"{_END}|“[^”]*”{_END}|\'[^\']*\'{_END}|«[^»]*»{_END}'
+_QUOTED = rf'"(?:[^"]++|"")*+"{_END}|“[^”]*”{_END}|\'[^\']*\'{_END}|«[^»]*»{_END}'
 MAX_KNOWN = 5000
 
 
@@ -47,7 +47,7 @@ def _unquote(c: Column) -> Column:
     """Strips one pair of quotes and halves doubled ones."""
     body = F.substring(c, F.lit(2), F.length(c) - 2)
     return (
-        F.when(c.rlike(r'(?s)^"(?:[^"]|"")*"$'), F.replace(body, F.lit('""'), F.lit('"')))
+        F.when(c.rlike(r'(?s)^"(?:[^"]++|"")*+"$'), F.replace(body, F.lit('""'), F.lit('"')))
         .when(c.rlike(r"(?s)^(?:“[^”]*”|'[^']*'|«[^»]*»)$"), body)
         .otherwise(c)
     )
