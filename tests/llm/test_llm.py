@@ -292,9 +292,32 @@ class TestLeakage:
         assert leakage.leaks(docs.limit(0), items).count() == 0 and leakage.leaks(docs, items.limit(0)).count() == 0
         assert leakage.leaks(docs.unionAll(docs), items).count() == 2
 
-    def test_blocks(self, spark, monkeypatch):
-        monkeypatch.setattr(leakage, "BLOCK", 1)
-        assert len(self.frames(spark, [ITEM])) == 1
+    @pytest.mark.parametrize("words", [1, 60, 400, 10**6])
+    def test_blocks(self, spark, monkeypatch, words):
+        """Rows of both kinds don't depend on the size of a block."""
+        monkeypatch.setattr(leakage, "BLOCK_WORDS", words)
+        made = lambda a, b, c: f"Today the mill of {a} shipped {b} kg of dried figs to the old port while the {c} crew of Dunmoor rested until the ferry came back with {b} kg of salt."
+        items = spark.createDataFrame([(i, made(x, 10 + i, y)) for i, (x, y) in enumerate([("Astra", "Belo"), ("Corvo", "Dena"), ("Esto", "Fino"), ("Gano", "Hilo")])] + [(9, ITEM)], "item_id long, text string")
+        docs = spark.createDataFrame([(1, "Well. " + made("Astra", 10, "Belo")), (2, made("Corvo", 77, "Fino")), (3, ITEM)], "doc_id long, text string")
+        got = {(r.doc_id, r.item_id, r.kind) for r in leakage.leaks(docs, items).collect()}
+        assert {(1, 0, "verbatim"), (3, 9, "verbatim")} <= got and {x for x in got if x[2] == "reparameterised"} and {x[1] for x in got if x[0] == 2} >= {0, 1, 2, 3}
+        assert got == getattr(type(self), "seen", got)
+        type(self).seen = got
+
+    def test_numbers_alone(self):
+        """A table of numbers against numeric items: no placeholder window seeds anything, equal numbers are counted in pieces."""
+        import resource
+
+        r = random.Random(3)
+        texts = [" ".join(str(r.randint(0, 10**6)) for _ in range(100)) for _ in range(1000)]
+        none = np.empty(0, np.uint64)
+        items = leakage.Items(list(range(1000)), texts, none, none)
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        found = leakage.find(pa.array([" ".join(str(r.randint(0, 10**6)) for _ in range(20_000)) + " " + texts[7]]), items)
+        assert {f[1] for f in found} == {7}
+        zeros = leakage.Items([1], ["0 " * 3000], none, none)
+        assert leakage.find(pa.array(["0 " * 4000]), zeros)[0][1] == 0
+        assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_500_000
 
     def test_longest_run_brute_force(self):
         r = random.Random(4)
@@ -314,10 +337,66 @@ class TestTruncation:
         text = " ".join(f"Câu số {i} nói về kế hoạch năm {2000 + i} của đơn vị." for i in range(40))
         for cut in range(len(text) - 120, len(text) - 1):
             short = text[:cut].rstrip()
-            want = not (short.endswith(".") and text[len(short) : len(short) + 1] in (" ", ""))
-            assert truncation._ends_early(short, text) == want, short[-20:]
-            assert truncation._ends_early(short + "…", text) or not want
-        assert truncation._ends_early(text, text) is False and truncation._ends_early("Khác hẳn " * 30, text) is None
+            want = 1 if not (short.endswith(".") and text[len(short) : len(short) + 1] in (" ", "")) else 0
+            assert truncation.align_end(short, text) in ((want,) if cut < len(text) - 4 else (want, 2)), short[-20:]
+            assert truncation.align_end(short + "…", text) in (1, 2) or not want
+        assert truncation.align_end(text, text) == 2 and truncation.align_end("Khác hẳn " * 30, text) is None
+        assert truncation.align_end(text[:900] + ". " + "Lời kết khác hẳn của bản in lại do ban biên tập viết thêm.", text) == 2
+
+    @staticmethod
+    def bodies(n, words, seed=3):
+        r = random.Random(seed)
+        pool = ["".join(r.choice("bcdghklmnt") + r.choice("aeiouy") for _ in range(r.randint(1, 3))) for _ in range(3000)]
+        out = []
+        for _ in range(n):
+            w = [r.choice(pool) for _ in range(words)]
+            out.append(" ".join(x + "." if k % 11 == 10 else x for k, x in enumerate(w)) + " xong rồi nhé.")
+        return out
+
+    @pytest.mark.parametrize("altered", [0.0, 0.01])
+    def test_cut_copies_are_found(self, spark, altered):
+        r = random.Random(8)
+        full = self.bodies(60, 400)
+        rows, want = [], set()
+        for k, text in enumerate(full):
+            rows.append((k, "a", text))
+            for n, share in enumerate((0.95, 0.8, 0.5, 0.2)):
+                w = [x if r.random() >= altered else "zz." if x.endswith(".") else "zz" for x in text.split()]
+                end = int(len(w) * share)
+                while w[end - 1].endswith(".") or text.split()[end - 1].endswith(".") or w[end - 1] == "zz":
+                    end -= 1
+                # a doubtful end: the closing mark is a figure's
+                rows.append((1000 + k * 10 + n, "b", " ".join(w[:end])))
+                want.add(1000 + k * 10 + n)
+        docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+        found = {r.doc_id: r.by_copy for r in truncation.cut_documents(docs).collect()}
+        by_copy = {d for d, c in found.items() if c}
+        assert not by_copy - want and set(found) == want
+        # brute force: the pairs that the alignment accepts
+        texts = {d: t for d, _, t in rows}
+        near = {d for d in want if truncation.align_end(texts[d], full[(d - 1000) // 10]) == 1}
+        assert len(near) >= 0.6 * len(want) and len(by_copy & near) >= 0.9 * len(near)
+
+    def test_copy_overrules_closing(self, spark):
+        base = self.bodies(3, 120)
+        # an address line closes no sentence, yet the longer copy ends a line there; figures end in a mark, yet the copy goes on
+        rows = [(1, "s", base[0] + "\nhai bà trưng mới\n" + base[1]), (2, "s", base[0] + "\nhai bà trưng mới"), (3, "s", base[2] + " mức 3.512 tỷ nữa. " + base[1]), (4, "s", base[2] + " mức 3."), (5, None, None), (6, "", "")]
+        docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+        assert [(r.doc_id, r.by_copy) for r in truncation.cut_documents(docs).collect()] == [(4, True)]
+
+    def test_terminality_decides(self, spark):
+        lines = [f"{b}\nBan Thư ký hội đồng quản trị" for b in self.bodies(50, 30)] + [f"{b} do Ban Thư ký hội đồng quản trị" for b in self.bodies(5, 30, 9)]
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
+        c = truncation.learn(docs.select("text"))
+        c.terminal = truncation.terminality(truncation.sign(docs, c))
+        assert [c.is_cut(t) for t in lines] == [False] * 50 + [True] * 5
+        c.terminal = {}
+        assert all(c.is_cut(t) for t in lines)
+
+    def test_marks(self):
+        assert truncation._closed("xong." + "”)" * 50) and not truncation._closed("xong”")
+        for text, at in (("ab …", 2), ("ab...", 2), ("ab [" + " " * 90 + "... ]", 2), ("ab (x...)", None), ("ab.", None), ("", None), ("...", 0)):
+            assert truncation._cut_at(text) == at, text
 
     def test_documents(self, spark):
         r = random.Random(1)
@@ -325,17 +404,29 @@ class TestTruncation:
         rows = [(i, "a", body() + r.choice(["", "\n— Hết —", "\n(Theo bản tin nội bộ)", " Danh sách gồm kho, xe, v.v..."])) for i in range(200)]
         cut = [(300 + i, "b", body() + t) for i, t in enumerate((" Ban điều hành ký h", " Doanh thu năm", " Chi phí giảm…", " Chi ph [...]", " Doanh thu nă\ufffd"))]
         full = [(400, "c", body() + "\n— Hết —"), (401, "c", None), (402, "c", ""), (403, None, body())]
-        docs = spark.createDataFrame(rows + cut + full, "doc_id long, source string, text string").withColumn("by_copy", F.lit(1))
+        docs = spark.createDataFrame(rows + cut + full, "doc_id long, source string, text string").withColumn("by_copy", F.lit(1)).withColumn("tid", F.lit("x"))
         assert {r.doc_id for r in truncation.cut_documents(docs).collect()} == {300, 301, 302, 303, 304}
         share = {r.source: (r.n_docs, r.n_cut) for r in truncation.share_by_source(docs).collect()}
         assert share["b"] == (5, 5) and share["a"] == (200, 0) and share[None] == (1, 0)
         assert truncation.cut_documents(docs.limit(0)).count() == 0
+        twice = truncation.cut_documents(docs.unionAll(docs)).groupBy("doc_id").count().collect()
+        assert {r["count"] for r in twice} == {2} and len(twice) == 5
 
-    def test_copy_of_a_hot_bucket(self, spark):
+    def test_hot_bucket(self, spark):
+        """Open copies of a hot text meet one partner a round, never each other; a partner that fails is followed by the next."""
         text = " ".join(f"Mục {i} của kế hoạch đạt mức {i * 7} tỷ đồng." for i in range(60))
-        docs = spark.createDataFrame([(i, "s", text) for i in range(300)] + [(999, "s", text[: len(text) - 16] + " 41.")], "doc_id long, source string, text string")
-        pairs = truncation.candidates(docs).collect()
-        assert len(pairs) <= 2 * 301 and (999, 0) in {(p.doc_id, p.other_id) for p in pairs}
+        docs = spark.createDataFrame([(i, "s", text[: 1400 + 2 * i] + f" phần {i}") for i in range(150)] + [(999, "s", text)], "doc_id long, source string, text string")
+        c = truncation.learn(docs.select("text"))
+        rows = truncation.buckets(truncation.sign(docs, c))
+        assert rows.where("asks").select("tid").distinct().count() == 150
+        assert truncation.verdicts(docs, truncation.sign(docs, c), c).count() <= 150
+
+    def test_signatures_hold_for_heads(self):
+        text = self.bodies(1, 3000)[0]
+        head = " ".join(text.split()[: truncation.HEAD * truncation.HEAD_STEP])
+        (_, whole_heads), (_, own_heads) = truncation.signatures(pa.array([text, head]))
+        assert len(whole_heads) == 4 and len(own_heads) == 2 and all((a == b).all() for a, b in zip(own_heads, whole_heads, strict=False))
+        assert truncation.signatures(pa.array([None, "", "a b c"])) == [(pytest.approx([]), [])] * 3 or len(truncation.signatures(pa.array([None, "", "a b c"]))[2][0]) == 0
 
 
 def test_hashed_words():

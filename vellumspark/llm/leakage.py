@@ -1,14 +1,18 @@
 """Evaluation texts leaking into training text (problem 7).
 
 Items and documents are turned into templates: numbers, names and units become typed placeholders (names and
-units are learned from the items, by hash, so case and accents don't matter).  Windows of template words are
+units are learned from all items at once, by hash, so case and accents don't matter).  Windows of template words are
 hashed; the items' windows are joined with every document's windows, and where several of them lie on one
 diagonal the words themselves are aligned.  A run of at least ``LEAST_RUN`` words with at most one edit in
 ``ONE_IN`` is a leak; a run that holds only between the templates, with slots filled consistently (one old
 value, one new value), is a re-parameterised question.
 
-The items are the stated query set: they reach the executors in blocks of bounded size, every document is
-read once a block, no text is shuffled, and no pair of documents is ever formed.
+Windows of placeholders alone say nothing about a template and seed none; equal windows are counted by diagonal in
+pieces of bounded size, so a table of numbers against many numeric items takes time, but no memory.
+
+The items are the stated query set: what their words are is learned once over all of them; their index reaches the
+executors in blocks of bounded size (one for some 10,000 items), every document is read once a block, no text is
+shuffled, and no pair of documents is ever formed.
 """
 
 from __future__ import annotations
@@ -32,8 +36,12 @@ LEAST_EXACT = 3
 #: So many equal template windows on one diagonal band call for an alignment of templates.
 TEMPLATE_WINDOWS = 10
 BAND = 12
-#: Items in a block: at some 100 words an item, a block takes a few MB.
-BLOCK = 5_000
+#: Words in a block of items: the index of a block takes some 60 MB.
+BLOCK_WORDS = 1_000_000
+#: Pairs of equal windows that are unfolded at once.
+PIECE = 2_000_000
+#: So many times a word must follow a number to be a unit.
+UNIT_TIMES = 3
 NUMBER, NAME, UNIT = (mix(np.array([k], np.uint64))[0] for k in (101, 102, 103))
 
 
@@ -52,24 +60,48 @@ def _capitals(texts: pa.Array, bounds: np.ndarray, starts: np.ndarray) -> np.nda
     return up & ~begin
 
 
+def _word_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of names ('n') and of words behind numbers ('u') in a column of item texts, by hash."""
+    for batch in slices(batches, 0):
+        words, bounds, starts, number = hashed_words(batch.column(0))
+        names, n = np.unique(words[_capitals(batch.column(0), bounds, starts) & ~number], return_counts=True)
+        after = np.flatnonzero(number[:-1]) + 1 if len(number) else np.empty(0, np.int64)
+        units, m = np.unique(words[after][~number[after]], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(["n"] * len(names) + ["u"] * len(units), pa.string()), pa.array(np.concatenate([names, units]).view(np.int64)), pa.array(np.concatenate([n, m]).astype(np.int64))], names=["kind", "word", "n"])
+
+
+def word_types(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(names, units) of all items, sorted hashes: bounded by the distinct words of the query set."""
+    counts = items.where("text is not null").select("text").mapInArrow(_word_types, "kind string, word long, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
+    rows = counts.where((F.col("kind") == "n") | (F.col("n") >= UNIT_TIMES)).select("kind", "word").collect()
+    of = lambda kind: np.unique(np.array([r["word"] for r in rows if r["kind"] == kind], np.int64).view(np.uint64))
+    names = of("n")
+    return names, np.setdiff1d(of("u"), names)
+
+
 class Items:
-    """A block of items, ready for the search."""
+    """A block of items, ready for the search; ``names`` and ``units`` are those of all items."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
-        arr = pa.array(texts, pa.string())
-        words, bounds, starts, number = hashed_words(arr)
+    def __init__(self, ids: list[int], texts: list[str], names: np.ndarray, units: np.ndarray):
+        self.names, self.units = names, units
         self.ids = np.array(ids, np.int64)
-        self.bounds, self.words = bounds, words
-        self.names = np.unique(words[_capitals(arr, bounds, starts) & ~number])
-        after = np.flatnonzero(number[:-1]) + 1 if len(number) else np.empty(0, np.int64)
-        found, n = np.unique(words[after][~number[after]], return_counts=True)
-        self.units = np.setdiff1d(found[n >= 3], self.names)
-        self.template = self.canonical(words, number)
-        key, at = windows(self.template, bounds, WINDOW)
+        self.words, self.bounds, _, number = hashed_words(pa.array(texts, pa.string()))
+        self.template = self.canonical(self.words, number)
+        self.row = np.repeat(np.arange(len(ids)), np.diff(self.bounds))
+        self.index = [self._sorted(*w) for w in self.seeds(self.words, self.template, self.bounds)]
+
+    @staticmethod
+    def _sorted(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(key, kind="stable")
-        self.keys, self.at = key[order], at[order]
-        self.exact = windows(words, bounds, WINDOW)[0][order]  # the same windows in the words themselves
-        self.row = np.repeat(np.arange(len(ids)), np.diff(bounds))
+        return key[order], at[order]
+
+    @staticmethod
+    def seeds(words: np.ndarray, template: np.ndarray, bounds: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Windows (key, place) of the words, and those of the template that hold a word besides placeholders."""
+        key, at = windows(template, bounds, WINDOW)
+        literal = np.concatenate([[0], np.cumsum(~np.isin(template, [NUMBER, NAME, UNIT]))])
+        telling = literal[at + WINDOW] > literal[at]
+        return windows(words, bounds, WINDOW), (key[telling], at[telling])
 
     def canonical(self, words: np.ndarray, number: np.ndarray) -> np.ndarray:
         out = words.copy()
@@ -81,6 +113,35 @@ class Items:
         return out
 
 
+def _diagonals(items: Items, words: np.ndarray, template: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, item, diagonal, equal windows of words, of templates): counted piece by piece, sorted."""
+    parts: list[np.ndarray] = []
+    for kind, ((keys, places), (key, at)) in enumerate(zip(items.index, Items.seeds(words, template, bounds), strict=True)):
+        if not len(keys) or not len(key):
+            continue
+        low = np.searchsorted(keys, key, "left")
+        hit = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == key)
+        low, j = low[hit], at[hit]
+        count = np.searchsorted(keys, key[hit], "right") - low
+        total = np.concatenate([[0], np.cumsum(count)])
+        for start in range(0, int(total[-1]), PIECE):
+            end = min(start + PIECE, int(total[-1]))
+            n = np.arange(start, end)
+            which = np.searchsorted(total, n, "right") - 1
+            i = places[low[which] + n - total[which]]
+            place = j[which]
+            row, item = np.searchsorted(bounds, place, "right") - 1, items.row[i]
+            diagonal = (place - bounds[row]) - (i - items.bounds[item])
+            seen, times = np.unique(np.stack([row, item, diagonal], 1), axis=0, return_counts=True)
+            parts.append(np.column_stack([seen, times * (kind == 0), times * (kind == 1)]))
+    if not parts:
+        return tuple(np.empty(0, np.int64) for _ in range(5))
+    rows = np.concatenate(parts)
+    seen, inverse = np.unique(rows[:, :3], axis=0, return_inverse=True)
+    sums = [np.bincount(inverse.ravel(), weights=rows[:, k], minlength=len(seen)).astype(np.int64) for k in (3, 4)]
+    return seen[:, 0], seen[:, 1], seen[:, 2], *sums
+
+
 def _align(a: np.ndarray, b: np.ndarray, shift: int) -> list[tuple[int, int]]:
     """Local alignment of two word lists near the diagonal j = i + shift: pairs (i, j), -1 for a gap."""
     n, m, width = len(a), len(b), 2 * BAND + 1
@@ -172,32 +233,19 @@ def find(texts: pa.Array, items: Items) -> list[tuple[int, int, int, int, str]]:
     """(row, item, run, edits, kind) of the leaks in a batch; kind is 'verbatim' or 'reparameterised'."""
     words, bounds, _, number = hashed_words(texts)
     template = items.canonical(words, number)
-    key, at = windows(template, bounds, WINDOW)
-    low = np.searchsorted(items.keys, key, "left")
-    hit = np.flatnonzero((low < len(items.keys)) & (items.keys[np.minimum(low, len(items.keys) - 1)] == key)) if len(items.keys) else np.empty(0, np.int64)
-    if not len(hit):
+    row, item, diagonal, exact, alike = _diagonals(items, words, template, bounds)
+    if not len(row):
         return []
-    high = np.searchsorted(items.keys, key[hit], "right")
-    count = high - low[hit]
-    own = windows(words, bounds, WINDOW)[0]
-    which = np.repeat(low[hit], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    j = np.repeat(at[hit], count)
-    i = items.at[which]
-    equal = np.repeat(own[hit], count) == items.exact[which]
-    row = np.searchsorted(bounds, j, "right") - 1
-    item = items.row[i]
-    diagonal = (j - bounds[row]) - (i - items.bounds[item])
-    order = np.lexsort((diagonal, item, row))
-    row, item, diagonal, equal = row[order], item[order], diagonal[order], equal[order]
     new = np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (np.diff(diagonal) > BAND // 2)])
-    group = np.cumsum(new) - 1
-    size = np.bincount(group)
     first = np.flatnonzero(new)
+    exact_of, alike_of = np.add.reduceat(exact, first), np.add.reduceat(alike, first)
+    until = np.concatenate([first[1:], [len(row)]])
     out: dict[tuple[int, int], tuple[int, int, str]] = {}
-    same = np.bincount(group, weights=equal)
-    for g in np.flatnonzero((same >= LEAST_EXACT) | (size >= TEMPLATE_WINDOWS)).tolist():
+    for g in np.flatnonzero((exact_of >= LEAST_EXACT) | (alike_of >= TEMPLATE_WINDOWS)).tolist():
         r, it = int(row[first[g]]), int(item[first[g]])
-        middle = int(np.median(diagonal[first[g] : first[g] + size[g]]))
+        here = slice(first[g], until[g])
+        weight = np.cumsum(exact[here] + alike[here])
+        middle = int(diagonal[here][np.searchsorted(weight, (weight[-1] + 1) // 2)])
         ia, ib = items.bounds[it], items.bounds[it + 1]
         ja = max(bounds[r], bounds[r] + middle - BAND)
         jb = min(bounds[r + 1], bounds[r] + middle + (ib - ia) + BAND)
@@ -206,9 +254,9 @@ def find(texts: pa.Array, items: Items) -> list[tuple[int, int, int, int, str]]:
             continue
         shift = int(bounds[r] + middle - ja)
         kinds = []
-        if same[g] >= LEAST_EXACT:
+        if exact_of[g] >= LEAST_EXACT:
             kinds.append(("verbatim", a, b))
-        if size[g] >= TEMPLATE_WINDOWS:
+        if alike_of[g] >= TEMPLATE_WINDOWS:
             kinds.append(("reparameterised", ta, tb))
         for kind, x, y in kinds:
             if not _dense(x, y, shift):
@@ -233,11 +281,13 @@ def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     schema = "doc_id long, item_id long, run_words int, edits int, kind string"
     spark = documents.sparkSession
     out = None
+    names, units = word_types(eval_items)
     ordered = eval_items.where("text is not null").select("item_id", "text").orderBy("item_id", "text")
     block: list = []
+    size = 0
 
     def search(rows: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows]))  # bounded by BLOCK
+        shared = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], names, units))  # bounded by BLOCK_WORDS
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = shared.value
@@ -253,9 +303,10 @@ def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
 
     for r in ordered.toLocalIterator():
         block.append(r)
-        if len(block) == BLOCK:
+        size += len(r["text"].split())
+        if size >= BLOCK_WORDS:
             out = search(block) if out is None else out.unionAll(search(block))
-            block = []
+            block, size = [], 0
     if block or out is None:
         out = search(block) if out is None else out.unionAll(search(block))
     return out

@@ -4,14 +4,15 @@ Rows of ``reports`` are grouped by the firm they mean and the report year.
 Fields that depend on each other form bundles (the file: pdf_path, ocr_path,
 total_pages, is_scanned; the firm: ticker, company_id; the content: total_words
 and the states), and one survivor takes whole bundles.  The choice maximises
-trust under functional dependencies (the path of the chosen file must name the
-chosen firm and year, its pages must be known) by branch and bound.
+trust under functional dependencies (firm determines company_id; the path of the
+chosen file must name the chosen firm and year; file and content agree on
+is_scanned) by branch and bound.
 
 Candidates are pre-aggregated per (group, bundle, signature): the constraints
 see only a bundle's signature, a handful of flags (``is_scanned`` among those of
 file and content, which must agree), so a group reaches the
 search as at most ``MAX_SIGNATURES`` candidates per bundle, however many rows it
-has.  No group is ever collected whole.
+has: the signatures are so many by construction.  No group is ever collected whole.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
+#: Firms up to this number are broadcast with their companies; more are joined by a shuffle.
+BROADCAST_FIRMS = 200_000
 #: Signatures of a bundle at most: the file's four flags and its is_scanned (true, false, null).
 MAX_SIGNATURES = 48
 #: Full-width capitals, digits and signs and their ASCII forms.
@@ -119,6 +124,8 @@ def _search(firm: list[dict], file: list[dict], content: list[dict]) -> tuple[in
     for i, a in enumerate(firm):
         if found and a["w"] + top_file + top_content <= best[0]:
             break
+        if not a["company_ok"]:
+            continue
         for j, b in enumerate(file):
             if found and a["w"] + b["w"] + top_content <= best[0]:
                 break
@@ -135,22 +142,37 @@ def _search(firm: list[dict], file: list[dict], content: list[dict]) -> tuple[in
     return best[1:]
 
 
+def companies(rows: DataFrame) -> DataFrame:
+    """``(firm, __company)``: the company that a firm determines, by all its rows' trust; ties fall to the lower id.
+
+    Trusts are summed by firm and company before they are compared, so a hot firm reaches one task as a few sums.
+    """
+    # Millionths of trust, so that the sums don't depend on the order of the rows.
+    sums = rows.where("firm is not null and company_id is not null").groupBy("firm", "company_id").agg(F.sum(F.round(F.col("__trust") * 1_000_000).cast("long")).alias("t"))
+    best = sums.groupBy("firm").agg(F.max(F.struct("t", (-F.col("company_id")).alias("c"))).alias("m"))
+    return best.select("firm", (-F.col("m.c")).alias("__company"))
+
+
 def survivors(reports: DataFrame, sources: DataFrame) -> DataFrame:
     """One surviving row per firm and year.
 
     Columns: firm, report_year, n_rows, ticker, company_id, pdf_path, ocr_path, total_pages, is_scanned,
     total_words, ocr_status, mining_status, file_report_id, updated_at.  Rows that name no firm or no year
-    survive as themselves (firm null).  Ties fall to the later updated_at, then the lower report_id.  Extra
+    survive as themselves (firm null).  A bundle whose company_id contradicts the firm's loses to any that doesn't; a
+    missing company_id is the firm's.  Ties fall to the later updated_at, then the lower report_id.  Extra
     columns are left aside; a record_source absent from ``sources`` ranks last; empty input gives an empty result.
     """
     trust = sources.where("trust_rank is not null").groupBy(F.col("source").alias("record_source")).agg(F.min("trust_rank").alias("__rank"))
     fields = ["report_id", "company_id", "ticker", "report_year", "pdf_path", "ocr_path", "total_pages", "total_words", "is_scanned", "ocr_status", "mining_status", "record_source", "updated_at"]
     rows = firm_years(reports.select(*fields)).join(trust, "record_source", "left")
+    rows = rows.withColumn("__trust", 1.0 / (1.0 + F.coalesce(F.col("__rank"), F.lit(99))))
+    known = cut_lineage(companies(rows))
+    rows = rows.join(F.broadcast(known) if known.count() <= BROADCAST_FIRMS else known, "firm", "left")
     lone = F.col("firm").isNull() | F.col("report_year").isNull()
     rows = rows.select(
         "*",
         F.when(lone, F.concat(F.lit("#"), F.col("report_id").cast("string"))).otherwise(F.concat_ws("|", "firm", F.col("report_year").cast("string"))).alias("gid"),
-        (1.0 / (1.0 + F.coalesce(F.col("__rank"), F.lit(99)))).alias("__trust"),
+        F.coalesce(F.col("company_id") == F.col("__company"), F.lit(True)).alias("company_ok"),
         (plain_ticker(F.col("ticker")) == F.col("ticker")).alias("__clean"),
         (F.col("path_firm").isNotNull()).alias("__named"),
         F.coalesce(F.col("path_firm") == F.col("firm"), F.lit(True)).alias("firm_ok"),
@@ -162,7 +184,7 @@ def survivors(reports: DataFrame, sources: DataFrame) -> DataFrame:
     # Signatures: what the constraints and the completeness of a bundle depend on.
     rows = rows.select(
         "*",
-        (none_false("__clean").cast("int") + 2 * F.col("company_id").isNotNull().cast("int")).alias("__sf"),
+        (none_false("__clean").cast("int") + 2 * F.col("company_id").isNotNull().cast("int") + 4 * F.col("company_ok").cast("int")).alias("__sf"),
         (F.col("firm_ok").cast("int") + 2 * F.col("year_ok").cast("int") + 4 * none_false("__paged").cast("int") + 8 * F.col("pdf_path").isNotNull().cast("int") + 16 * F.coalesce(F.col("is_scanned").cast("int"), F.lit(2))).alias("__sp"),
         (F.coalesce(F.col("is_scanned").cast("int"), F.lit(2)) + 3 * F.col("total_words").isNotNull().cast("int")).alias("__sc"),
     )
@@ -173,12 +195,12 @@ def survivors(reports: DataFrame, sources: DataFrame) -> DataFrame:
     late = (F.col("__at"), -F.col("report_id"))
     # One row per (group, kind, signature): three kinds from each input row, combined before the shuffle.
     kinds = rows.select(
-        "gid", "firm", "report_year", "report_id", "updated_at", "firm_ok", "year_ok", "wf", "wp", "wc", "__at", "ticker", "company_id",
+        "gid", "firm", "report_year", "report_id", "updated_at", "firm_ok", "year_ok", "company_ok", "__company", "wf", "wp", "wc", "__at", "ticker", "company_id",
         "pdf_path", "ocr_path", "total_pages", "is_scanned", "total_words", "ocr_status", "mining_status",
         F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("__sf").alias("sig")), F.struct(F.lit(1).alias("kind"), F.col("__sp").alias("sig")), F.struct(F.lit(2).alias("kind"), F.col("__sc").alias("sig")))).alias("ks"),
     )
     weight = F.when(F.col("ks.kind") == 0, F.col("wf")).when(F.col("ks.kind") == 1, F.col("wp")).otherwise(F.col("wc"))
-    keep = ["firm_ok", "year_ok", "ticker", "company_id", "pdf_path", "ocr_path", "total_pages", "is_scanned", "total_words", "ocr_status", "mining_status", "report_id"]
+    keep = ["firm_ok", "year_ok", "company_ok", "__company", "ticker", "company_id", "pdf_path", "ocr_path", "total_pages", "is_scanned", "total_words", "ocr_status", "mining_status", "report_id"]
     best = kinds.groupBy("gid", "firm", "report_year", "ks").agg(
         _best((weight, *late), *keep).alias("c"), F.count(F.lit(1)).alias("n"), F.max("updated_at").alias("at")
     )
@@ -188,7 +210,7 @@ def survivors(reports: DataFrame, sources: DataFrame) -> DataFrame:
         F.max("at").alias("updated_at"),
         *[F.sort_array(F.collect_list(F.when(F.col("ks.kind") == k, F.col("c"))), asc=False).alias(f"c{k}") for k in (0, 1, 2)],
     )
-    light = lambda c: F.transform(F.col(c), lambda x: F.struct(x["o0"].alias("w"), x["firm_ok"].alias("firm_ok"), x["year_ok"].alias("year_ok"), x["is_scanned"].alias("scanned")))
+    light = lambda c: F.transform(F.col(c), lambda x: F.struct(x["o0"].alias("w"), x["firm_ok"].alias("firm_ok"), x["year_ok"].alias("year_ok"), x["company_ok"].alias("company_ok"), x["is_scanned"].alias("scanned")))
     listed = listed.select("*", light("c0").alias("firms"), light("c1").alias("files"), light("c2").alias("contents"))
     pick = F.pandas_udf(
         lambda a, b, c: pd.DataFrame([_search(list(x), list(y), list(z)) for x, y, z in zip(a, b, c, strict=True)], columns=["i", "j", "k"]).astype("int32"),
@@ -198,7 +220,7 @@ def survivors(reports: DataFrame, sources: DataFrame) -> DataFrame:
     a, b, c = F.get("c0", F.col("p.i")), F.get("c1", F.col("p.j")), F.get("c2", F.col("p.k"))
     return chosen.select(
         "firm", "report_year", "n_rows",
-        F.coalesce(F.col("firm"), a["ticker"]).alias("ticker"), a["company_id"].alias("company_id"),
+        F.coalesce(plain_ticker(a["ticker"]), F.col("firm")).alias("ticker"), F.coalesce(a["company_id"], a["__company"]).alias("company_id"),
         b["pdf_path"].alias("pdf_path"), b["ocr_path"].alias("ocr_path"), b["total_pages"].alias("total_pages"), b["is_scanned"].alias("is_scanned"),
         c["total_words"].alias("total_words"), c["ocr_status"].alias("ocr_status"), c["mining_status"].alias("mining_status"),
         b["report_id"].alias("file_report_id"), "updated_at",
