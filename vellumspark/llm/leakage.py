@@ -33,8 +33,8 @@ ONE_IN = 6
 WINDOW = 4
 #: Windows equal word for word that call for an alignment of words: 18 words with 3 edits have at least 3 of them.
 LEAST_EXACT = 3
-#: So many equal template windows on one diagonal band call for an alignment of templates.
-TEMPLATE_WINDOWS = 10
+#: So many equal telling template windows on one diagonal band call for an alignment of templates: as few as of words, so that no run is lost.
+TEMPLATE_WINDOWS = 3
 BAND = 12
 #: Words in a block of items: the index of a block takes some 60 MB.
 BLOCK_WORDS = 1_000_000
