@@ -66,9 +66,38 @@ class TestEncoding:
         text, source, whole = encoding.restore(bad, self.maps(*[bad] * 20))
         assert text == VI and source in (page, "cp1252") and whole
 
+    @pytest.mark.parametrize(("page", "listed"), [("cp1250", True), ("koi8_r", True), ("koi8_r", False), ("cp852", False)])
+    def test_page_is_recognised_by_the_mapping(self, monkeypatch, page, listed):
+        """The learned mapping tells the page; without a page that agrees, it restores by itself; without it, nothing is found."""
+        r = random.Random(4)
+        words = (VI + " Lợi nhuận gộp đạt mức cao hơn do khách hàng lớn lùi lịch nhận hàng. Khối sản xuất đã hoàn tất hợp đồng. Bộ phận nhân sự chủ động cắt giảm chi phí cố định. Hội đồng quản trị thông qua kế hoạch tái cấu trúc ở miền Đông và các tỉnh lân cận.").split()
+        texts = [" ".join(r.choice(words) for _ in range(40)) for _ in range(600)]
+        byte = {v: k for k, v in encoding._readings()[page][0].items()}
+        garble = lambda t: "".join(chr(b) if b < 0x80 else byte[b] for b in t.encode())
+        if not listed:
+            known = {k: v for k, v in encoding._readings().items() if k not in (page, "kz1048", "ptcp154", "koi8_u")}
+            encoding._roles.cache_clear()
+            monkeypatch.setattr(encoding, "_readings", lambda: known)
+        bad = [garble(t) for t in texts[300:]]
+        assert encoding.suspicious(pa.array(bad)).all()
+        counts = next(encoding._pairs(iter([pa.RecordBatch.from_arrays([pa.array(texts[:300] + bad)], names=["t"])]))).to_pylist()
+        maps = encoding.learn([tuple(x.values()) for x in counts])
+        source = encoding.source_of(bad[0])[0]
+        if listed:
+            assert maps[encoding.PAGE][source][0] == page
+            assert [encoding.restore(b, maps)[0] for b in bad] == texts[300:]
+        else:
+            same = [encoding.restore(b, maps) for b in bad]
+            assert sum(x is not None for x in same) >= 0.95 * len(bad)
+            right = [sum(a == b for a, b in zip(x[0].split(), t.split(), strict=False)) / 40 for x, t in zip(same, texts[300:], strict=True) if x]
+            assert sum(right) / len(right) > 0.5
+        assert encoding.restore(bad[0], {"": maps[""]}) is None
+        encoding._roles.cache_clear()
+
     def test_twice(self):
         bad = VI.encode().decode("latin-1").encode().decode("latin-1")
-        assert encoding.restore(bad, self.maps(bad))[0] == VI
+        once = VI.encode().decode("latin-1")
+        assert encoding.restore(bad, self.maps(bad, *[once] * 20))[0] == VI
 
     def test_lost_byte_and_capitals(self):
         # cp1258 leaves bytes undefined: U+FFFD stands for the last byte of đ's capital and of several vowels
@@ -79,6 +108,7 @@ class TestEncoding:
         maps = self.maps(*[bad] * 20)
         text, source, _ = encoding.restore(bad, maps)
         assert text == VI and source in encoding._readings()
+        maps = self.maps(*[VI.encode().decode("latin-1")] * 20, *[bad] * 20)
         assert encoding.restore("Ä\ufffdÆ¡n vá»‹", maps) == ("Đơn vị", "cp1252", True)
         assert encoding.restore("tá»‘ chá»©c ngÆ°á»\ufffdi", maps)[2] is False
         assert encoding.restore("CÃ”NG TY LáºªCH, LáºCH Tá»•".replace("LáºCH", "Láº\u00a0CH"), maps)[0] == "CÔNG TY LẪCH, LẠCH Tổ"

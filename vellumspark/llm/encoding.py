@@ -9,17 +9,25 @@ letter bigrams of the clean records, and applied with ``translate``.
 
 Two narrow passes over the texts, no shuffle of texts: the first counts symbol
 pairs (their number is bounded by the alphabets, combined on the map side), the
-second maps.  Only the pair counts reach the driver.  An exact check follows the
-mapping for multi-byte symbols: where the bytes of a symbol form a valid letter,
-that letter is taken.  Where one byte was lost (U+FFFD in its place), the letters
-that the other bytes allow are weighed by the learned bigrams with both neighbours.
+second maps.  Only the pair counts reach the driver.
+
+No code page is taken for granted.  For multi-byte symbols the learned mapping
+tells which of all known single-byte code pages a source was read in: the one
+whose bytes spell the letters that the mapping holds likely.  The bytes then
+check and complete the mapping for symbols that are too rare to be learned; a
+source that agrees with no page keeps what was learned, and one of which
+nothing was learned is not reported.  Where one byte was lost (U+FFFD in its
+place), the letters that the other bytes allow are weighed by the learned
+bigrams with both neighbours.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from encodings.aliases import aliases
 from functools import lru_cache
 
 import numpy as np
@@ -40,12 +48,28 @@ SPACE, OTHER = len(LETTERS), len(LETTERS) + 1
 N_LETTERS = len(LETTERS) + 2
 CLEAN = set(LETTERS) | set(" \n\r\t")
 #: Symbols rarer than this share of a source's symbols are left to the exact check; it bounds the mapping.
-LEAST_SHARE = 1e-5
+LEAST_SHARE = 1e-4
 #: A symbol counts as known when the learned mapping gives its letter at least this probability.
 SURE = 0.5
 EM_ROUNDS = 60
-#: Readings: code pages under which bytes of a multi-byte letter may have been read.
-CODE_PAGES = ("cp1252", "cp1258", "cp437", "mac_roman", "cp850")
+_PLACE = {c: i for i, c in enumerate(LETTERS)}
+#: Key of the pages that were recognised, by source, among the mappings.
+PAGE = "\1page"
+#: Symbols of a text from which on its symbols are learned from; texts with fewer are mapped all the same.
+LEARN_LEAST = 3
+#: So many times a symbol must be seen on average for a mapping to stand without a page that agrees.
+LEARN_TIMES = 10
+#: Neighbours that clean texts hold with this probability are no symbol of a source without a page.
+NATURAL = 1e-3
+#: A source was read in the page whose letters the mapping holds so likely, by the mean over its symbols.
+AGREES = 0.15
+#: Where no known page covers so much of a text's odd runs, they are parted at the characters that begin runs.
+COVERED = 0.7
+#: Characters in odd runs that a text must hold for that.
+ODD_LEAST = 20
+RUNS = "runs:"
+#: Texts of equal shape under several pages go to the first: the more usual ones lead, which decides nothing else.
+USUAL = ("cp1252", "cp1258", "cp437", "mac_roman", "cp850")
 LOST = "�"
 # The bytes that cp1252 or cp1258 leaves undefined.
 _UNDEFINED = (0x81, 0x8A, 0x8D, 0x8E, 0x8F, 0x90, 0x9A, 0x9D, 0x9E, 0x9F)
@@ -53,23 +77,63 @@ _UNDEFINED = (0x81, 0x8A, 0x8D, 0x8E, 0x8F, 0x90, 0x9A, 0x9D, 0x9E, 0x9F)
 
 @lru_cache(maxsize=1)
 def _readings() -> dict[str, tuple[dict[str, int], re.Pattern]]:
-    """For each code page: character to byte (undefined bytes stand for themselves) and the multi-byte pattern."""
-    out = {}
-    for page in CODE_PAGES:
+    """For each single-byte code page that keeps ASCII: character to byte (undefined bytes stand for themselves) and the multi-byte pattern."""
+    out: dict[str, tuple[dict[str, int], re.Pattern]] = {}
+    seen = set()
+    for page in [*USUAL, *sorted(set(aliases.values()) - set(USUAL))]:
         byte = {}
-        for b in range(0x80, 0x100):
-            try:
-                byte[bytes([b]).decode(page)] = b
-            except UnicodeDecodeError:
-                byte[chr(b)] = b
+        try:
+            plain = bytes(range(0x20, 0x7F))
+            if plain.decode(page) != plain.decode("ascii") or len(bytes([0x61] * 3).decode(page)) != 3:
+                continue
+            for b in range(0x80, 0x100):
+                try:
+                    letter = bytes([b]).decode(page)
+                except UnicodeDecodeError:
+                    letter = chr(b)
+                byte[letter] = b
+        except (LookupError, UnicodeError, ValueError):
+            continue  # no text encoding
+        if len(byte) < 100 or sum(ord(c) == b for c, b in byte.items()) > 120 and page not in USUAL:
+            continue  # a multi-byte encoding, or Latin-1, which cp1252 with its control codes holds
         if page.startswith("cp12"):
             byte |= {chr(b): b for b in range(0x80, 0xA0)}  # control codes that readers leave in place
+        if (key := tuple(sorted(byte.items()))) in seen:
+            continue
+        seen.add(key)
         span = lambda lo, hi: "[" + "".join(re.escape(c) for c, b in byte.items() if lo <= b <= hi) + "]"  # noqa: E731,B023
         cont = span(0x80, 0xBF)
         out[page] = byte, re.compile(f"{span(0xC2, 0xDF)}{cont}|{span(0xE0, 0xEF)}{cont}{{2}}|{span(0xF0, 0xF4)}{cont}{{3}}")
     return out
 
 
+@lru_cache(maxsize=1)
+def _roles() -> np.ndarray:
+    """By page and code point: 1 for a byte that goes on a letter, 2 and 3 for one that begins a letter of so many bytes."""
+    out = np.zeros((len(_readings()), 0x3000), np.uint8)
+    for k, (byte, _) in enumerate(_readings().values()):
+        for c, b in byte.items():
+            if ord(c) < 0x3000:
+                out[k, ord(c)] = 1 if b < 0xC0 else 2 if 0xC2 <= b < 0xE0 else 3 if 0xE0 <= b < 0xF0 else 0
+    return out
+
+
+def _pages_of(text: str) -> list[str]:
+    """The pages under which most characters of a text have the shape of multi-byte letters; the usual ones first."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.flatnonzero(points > 0x7E)
+    if len(at) < 2:
+        return []
+    role = _roles()[:, np.minimum(points[at], 0x2FFF)]
+    role[:, points[at] >= 0x3000] = 0
+    one = np.diff(at) == 1
+    goes_on = (role[:, 1:] == 1) & one
+    covered = 2 * ((role[:, :-1] == 2) & goes_on).sum(1)
+    if len(at) > 2:
+        covered = covered + 3 * ((role[:, :-2] == 3) & goes_on[:, :-1] & goes_on[:, 1:]).sum(1)
+    return [page for page, n in zip(_readings(), covered, strict=True) if n and n == covered.max()]
+
+
 _MARKS = "ùøûõïâáàåãäêéèúüëÙØÛÕÏÂÁÀÅÃÄÊÉÈÚÜË"
 #: Fonts that write a vowel and then its mark, or a sign for each letter.
 _VOWEL_MARK = re.compile(f"[aeiouyAEIOUYöôÖÔ][{_MARKS}]|[ñÑöÖôÔíÍìÌóÓòÒæÆîÎ]")
@@ -80,7 +144,8 @@ _MARKED = {"aA": "áàãåäâéèêëùøûõïÁÀÃÅÄÂÉÈÊËÙØÛÕÏ",
 _STRONG_MARK = re.compile("|".join(f"[{v}][{m}]" for v, m in _MARKED.items()) + r"|(?<![^\W\d_])[ñÑ](?=[aeiouyöôùò])|[a-zñ]ö")
 _STRONG_SIGN = re.compile(r"[a-zA-Z](?:[¡-©ª«®¯µ-¹»¼¾×ÞßØÜ÷]|¬(?![\r\n]))|®(?=[a-zµ-ÿ¨-¾])|[a-z]\xad(?=[íîëìéêèç])|[bcdfghklmnpqrstvx][ñëåçøûüäÞß÷×]|[a-z][ÈÉÊËÇÒÓÕÖÆÐÝØÑ]")
 _LOSS = re.compile(r"\w\?+\w|(?<![^\s(“])\?+[^\W\d]|\w\?\?|\?\?\w")
-_NOT_CLEAN = re.compile("[^" + re.escape("".join(sorted(CLEAN))) + "]")
+_ODD_RUN = re.compile(f"[^\x00-\x7e{LOST}]{{2,}}")
+_ODD_SIGN = re.compile("[" + re.escape("".join(chr(c) for c in range(0x80, 0x3000) if chr(c) not in CLEAN and not chr(c).isalnum() and unicodedata.category(chr(c)) not in ("Mn", "Cf", "Zs", "Cn"))) + "]")
 
 
 @lru_cache(maxsize=1)
@@ -128,6 +193,27 @@ def _plausible(letter: str | None) -> bool:
     return letter in CLEAN or letter in _FOREIGN or 0x80 <= c <= 0xFF or c in (0x300, 0x301, 0x303, 0x309, 0x31B, 0x323) or 0x2000 <= c <= 0x206F or 0xFF01 <= c <= 0xFF5E or c == 0xFEFF or c in (0x192, 0x152, 0x153, 0x160, 0x161, 0x178, 0x17D, 0x17E, 0x2C6, 0x2DC, 0x2122, 0x201A, 0x20AC)
 
 
+def _runs(text: str) -> tuple[str, list[tuple[int, int]]] | None:
+    """Symbols of a text read in a page that nobody lists: pieces of its odd runs, parted before characters that begin runs.
+
+    A character that begins a letter never goes on with one, under any page; so those that stand first in some run part the others.
+    """
+    runs = [m for m in _ODD_RUN.finditer(text) if _ODD_SIGN.search(m.group())]
+    if sum(len(m.group()) for m in runs) < ODD_LEAST:
+        return None
+    begin = Counter(m.group()[0] for m in runs)
+    first = {c for c, n in begin.items() if n > 1}
+    spans = []
+    for m in runs:
+        at = m.start()
+        for k in range(m.start() + 1, m.end()):
+            if text[k] in first:
+                spans.append((at, k))
+                at = k
+        spans.append((at, m.end()))
+    return RUNS + begin.most_common(1)[0][0], [(a, b) for a, b in spans if b - a > 1]
+
+
 def _reach_back(text: str, start: int, symbol: re.Pattern, most: int = 3) -> int:
     """The begin of the words just before ``start`` that hold a symbol, too."""
     for _ in range(most):
@@ -139,22 +225,21 @@ def _reach_back(text: str, start: int, symbol: re.Pattern, most: int = 3) -> int
     return start
 
 
-def source_of(text: str) -> tuple[str, list[tuple[int, int]]] | None:
-    """The source (shape of the symbols) of a garbled text and the spans of its symbols; None for a clean one.
+def sources_of(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
+    """The sources (shapes of symbols) that a text may come from and the spans of their symbols, those that cover most first.
 
-    Texts written under a multi-byte code page hold whole multi-byte patterns; the page that explains most is
-    taken; in such a text symbols with a lost byte and capitals that look like one before a real sign belong to them.
+    Texts read in a wrong page hold characters in the shape of multi-byte letters: one that begins a letter before those that go
+    on with it, whatever they spell; the page that covers most names the source, which says nothing yet about the true page.
+    In such a text symbols with a lost byte and capitals that look like one before a real sign belong to them.
     Font texts must hold at least two words that no clean text writes; their symbols lie between the
     first and the last such word.  Texts with lost letters hold replacement or question marks inside words.
     """
     best: tuple[str, list[tuple[int, int]]] | None = None
-    for page, (byte, pattern) in _readings().items():
+    for page in _pages_of(text)[:1]:
         spans, doubtful = [], []
-        for m in pattern.finditer(text):
+        for m in _readings()[page][1].finditer(text):
             s = m.group()
             letter = exact(s, page)
-            if not _plausible(letter):
-                continue
             a, b = m.span()
             if " " in s and len(s) == 2 and a and text[a - 1].isupper() and text[b : b + 1].isupper():
                 continue  # a capital before a real non-breaking blank
@@ -169,12 +254,12 @@ def source_of(text: str) -> tuple[str, list[tuple[int, int]]] | None:
             spans = sorted(spans + doubtful)
         if spans and (best is None or len(spans) > len(best[1])):
             best = page, spans
+    found = [best] if best else []
+    runs = _runs(text)
+    if runs and (not best or sum(b - a for a, b in best[1]) < COVERED * sum(b - a for a, b in runs[1])):
+        found.append(runs)
     if LOST in text:
-        lost = [m.span() for m in re.finditer(LOST, text)]
-        if best is None or len(lost) > len(best[1]):
-            return "lost", lost
-    if best:
-        return best
+        found.append(("lost", [m.span() for m in re.finditer(LOST, text)]))
     fonts = [("sign", [m.span() for m in _STRONG_SIGN.finditer(text)], _SIGN_FONT), ("mark", [m.span() for m in _STRONG_MARK.finditer(text)], _VOWEL_MARK)]
     for name, words, symbol in sorted(fonts, key=lambda f: -len(f[1]))[:1]:
         if len(words) >= 2:
@@ -183,11 +268,17 @@ def source_of(text: str) -> tuple[str, list[tuple[int, int]]] | None:
             while b < len(text) and not text[b].isspace():
                 b += 1
             a = _reach_back(text, a, symbol)
-            return name, [m.span() for m in symbol.finditer(text, a, b)]
+            found.append((name, [m.span() for m in symbol.finditer(text, a, b)]))
     hits = list(_LOSS.finditer(text)) if "?" in text else []
     if len(hits) >= 2:
-        return "lost", [(m.start() + k, m.start() + k + 1) for m in hits for k, c in enumerate(m.group()) if c == "?"]
-    return None
+        found.append(("lost", [(m.start() + k, m.start() + k + 1) for m in hits for k, c in enumerate(m.group()) if c == "?"]))
+    return sorted(found, key=lambda f: -sum(b - a for a, b in f[1]))
+
+
+def source_of(text: str) -> tuple[str, list[tuple[int, int]]] | None:
+    """The source that most symbols of a text speak for, and their spans; None for a clean text."""
+    found = sources_of(text)
+    return found[0] if found else None
 
 
 @lru_cache(maxsize=1)
@@ -255,6 +346,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = source_of(text) if text else None
             if found:
                 bad[i] = True
+                if found[0] in _readings() and len(found[1]) < LEARN_LEAST:
+                    continue
                 seq, at = [], 0
                 for a, b in found[1]:
                     seq += text[at:a]
@@ -299,7 +392,8 @@ def learn(counts: list[tuple[str, str, str, int]]) -> dict[str, dict[str, tuple[
     out: dict[str, dict[str, tuple[str, float]]] = {}
     after = np.log(bigram / bigram.sum(1, keepdims=True))
     out[""] = {(LETTERS[i] if i < SPACE else " "): (after[i].tolist(), 0.0) for i in range(SPACE + 1)}  # type: ignore[misc]  # rows of log probabilities
-    for source in sorted({s for s, *_ in counts} - {""}):
+    out[PAGE] = {}
+    for source in sorted({s for s, *_ in counts} - {"", "lost"}):
         own = [(a, b, n) for s, a, b, n in counts if s == source]
         total = Counter()
         for a, b, n in own:
@@ -312,31 +406,50 @@ def learn(counts: list[tuple[str, str, str, int]]) -> dict[str, dict[str, tuple[
             continue
         place = {x: N_LETTERS + i for i, x in enumerate(symbols)}
         size = N_LETTERS + len(symbols)
-        seen = np.zeros((size, size))
+        cells: Counter = Counter()
         for a, b, n in own:
             i = place.get(a, OTHER) if a[0] == "\0" else index.get(a, OTHER)
             j = place.get(b, OTHER) if b[0] == "\0" else index.get(b, OTHER)
-            seen[i, j] += n
+            cells[i, j] += n
+        i, j = np.array(sorted(cells)).T
+        seen = np.array([cells[x] for x in zip(i.tolist(), j.tolist(), strict=True)], float)
         emit = np.zeros((size, N_LETTERS))
         emit[np.arange(N_LETTERS), np.arange(N_LETTERS)] = 1.0
         weight = np.array([total[x] for x in symbols], float)
-        if source == "lost":
-            # the same mark may stand for any letter, plain ones too
-            emit[N_LETTERS:, : SPACE] = 1e-3
         emit[np.ix_(np.arange(N_LETTERS, size), np.flatnonzero(hidden))] = (weight / weight.sum())[:, None]
         emit /= emit.sum(0)
+        by_j = np.argsort(j, kind="stable")
+        left, right = np.flatnonzero(np.diff(i, prepend=-1)), np.flatnonzero(np.diff(j[by_j], prepend=-1))
         for _ in range(EM_ROUNDS):
-            ratio = seen / np.maximum(emit @ bigram @ emit.T, 1e-12)
-            new = emit * (ratio @ emit @ bigram.T + ratio.T @ emit @ bigram)
-            fresh = new[:, hidden]
+            before, behind = emit @ bigram, emit @ bigram.T
+            ratio = (seen / np.maximum((before[i] * emit[j]).sum(1), 1e-12))[:, None]
+            new = np.zeros_like(emit)
+            new[i[left]] += np.add.reduceat(ratio * behind[j], left)
+            new[j[by_j][right]] += np.add.reduceat((ratio * before[i])[by_j], right)
+            fresh = (emit * new)[:, hidden]
             emit[:, hidden] = fresh / np.maximum(fresh.sum(0), 1e-300)
         joint = emit[N_LETTERS:] * prior
         share = joint / np.maximum(joint.sum(1, keepdims=True), 1e-300)
         best = share.argmax(1)
         out[source] = {x[1:]: (LETTERS[k] if k < SPACE else " ", float(share[i, k])) for i, (x, k) in enumerate(zip(symbols, best, strict=True))}
+        if source in _readings() or source.startswith(RUNS):
+            if weight.sum() < LEARN_TIMES * len(symbols):  # so little can't tell letters; a page may still agree
+                out[source] = {}
+            held = max(((_agreement(symbols, share, weight, page), -n, page) for n, page in enumerate(_readings())), default=(0.0, 0, ""))
+            if held[0] >= AGREES:
+                out[PAGE][source] = held[2], held[0]
     return out
 
 
+def _agreement(symbols: list[str], share: np.ndarray, weight: np.ndarray, page: str) -> float:
+    """How likely the learned mapping holds the letters that the symbols spell under ``page``, by the mean over the symbols."""
+    total = 0.0
+    for i, x in enumerate(symbols):
+        k = _PLACE.get(exact(x[1:], page) or "")
+        total += weight[i] * share[i, k] if k is not None else 0.0
+    return total / weight.sum()
+
+
 def mapping(*texts: DataFrame) -> dict[str, dict[str, tuple[str, float]]]:
     """Learned mappings from all rows of one-column DataFrames."""
     counts = texts[0]
@@ -346,9 +459,6 @@ def mapping(*texts: DataFrame) -> dict[str, dict[str, tuple[str, float]]]:
     return learn([tuple(r) for r in pair_counts(counts).collect()])
 
 
-_PLACE = {c: i for i, c in enumerate(LETTERS)}
-
-
 #: A word between garbled ones stays as it is only where its letters are likelier by so much (log, per letter).
 _MARGIN = 0.5
 
@@ -390,17 +500,31 @@ def restore(text: str, maps: dict[str, dict[str, tuple[str, float]]]) -> tuple[s
     false where a symbol has no sure letter; such symbols stay as they are.  A symbol with a lost byte takes the letter
     that its bytes and neighbours leave, and counts as sure only where the bytes leave one.  Twice-garbled texts are restored twice.
     """
-    found = source_of(text)
-    if not found:
-        return None
-    source, spans = found
-    learned = maps.get(source, {})
-    if source != "lost" and not any(
-        (learned.get(text[a:b], ("", 0.0))[1] >= SURE) or (source in _readings() and _plausible(exact(text[a:b], source))) for a, b in spans
-    ):
-        return None
+    for source, spans in sources_of(text):
+        done = _restored(text, source, spans, maps)
+        if done:
+            return done
+    return None
+
+
+def _natural(symbol: str, after: dict[str, tuple[list[float], float]]) -> bool:
+    """Whether clean texts hold the characters of a symbol one behind the other."""
+    return all(after[a][0][_PLACE.get(b, OTHER)] >= np.log(NATURAL) if a in after else False for a, b in zip(symbol, symbol[1:], strict=False))
+
+
+def _restored(text: str, source: str, spans: list[tuple[int, int]], maps: dict[str, dict[str, tuple[str, float]]]) -> tuple[str, str, bool] | None:
+    """``restore`` for one source; None where nothing was learned for its symbols."""
     if source == "lost":
         return text, source, False
+    learned = maps.get(source, {})
+    page = maps.get(PAGE, {}).get(source, ("", 0.0))[0]  # recognised by the learned mapping
+    spelt = lambda s: _plausible(exact(s, page)) or (LOST in s and bool(torn_letters(s, page))) if page else learned.get(s, ("", 0.0))[1] >= SURE and not _natural(s, maps.get("", {}))
+    if source in _readings() or source.startswith(RUNS):
+        spans = [(a, b) for a, b in spans if spelt(text[a:b])]
+        if not any(LOST not in text[a:b] for a, b in spans):
+            return None
+    elif not any(learned.get(text[a:b], ("", 0.0))[1] >= SURE for a, b in spans):
+        return None
     stand_in: dict[str, str] = {}
     to: dict[int, str] = {}
     unsure: dict[str, tuple[str, ...]] = {}
@@ -410,8 +534,8 @@ def restore(text: str, maps: dict[str, dict[str, tuple[str, float]]]) -> tuple[s
         s = text[a:b]
         if s not in stand_in:
             stand_in[s] = chr(0xF0000 + len(stand_in))
-            letter = exact(s, source) if source in _readings() else None  # the exact check
-            torn = torn_letters(s, source) if LOST in s else ()
+            letter = exact(s, page) if page else None  # the check of the bytes
+            torn = torn_letters(s, page) if LOST in s and page else ()
             if len(torn) == 1:
                 letter = torn[0]
             elif torn:
