@@ -173,6 +173,37 @@ class TestScanned:
     def test_no_case(self, know, text):
         assert not scanned.repair(text, know)[1]
 
+    def test_joins_ask_the_vocabulary(self, know):
+        for text in ("zzq-\nxxk", "sổ-\nzzq"):
+            assert scanned.repair(text, know) == (text.replace("\n", " "), False)
+        assert scanned.repair("zz¬\nxxk", know) == ("zzxxk", True)  # such a mark parts one word only
+        assert scanned.repair("ph-\nò-\nng kinh doanh", know) == ("phòng kinh doanh", True)
+        assert scanned.repair("сh-\ni cho", know)[1]  # a look-alike letter in the first half
+
+    def test_page_numbers_that_run_on(self, know):
+        text = "Mục tiêu năm\n7\nlà doanh thu cao hơn mục tiêu năm\n8\nlà doanh thu"
+        assert scanned.repair(text, know) == ("Mục tiêu năm là doanh thu cao hơn mục tiêu năm là doanh thu", True)
+        assert not scanned.repair("Mục tiêu năm\n7\nlà doanh thu", know)[1]
+        assert scanned._running(["a", "3/9", "b", "c", "4/9", "5", "7"]) == {1, 4} and scanned._running(["5", "6"]) == set()
+
+    def test_misread_furniture(self, know):
+        text = "Khoản chi cho sổ cái số hóa do phòng\nBÁO CÁO THƯỜNG NlÊN 2011\nkinh doanh phụ trách."
+        assert scanned.repair(text, know) == ("Khoản chi cho sổ cái số hóa do phòng kinh doanh phụ trách.", True)
+
+    def test_any_number_of_spots(self, know):
+        know.words["ll" * 10 + "bin"], know.total = 500, 2_000_000
+        know._start()
+        assert know.true_form("1l" * 10 + "bln") == "ll" * 10 + "bin"
+        del know.words["ll" * 10 + "bin"]
+        know._start()
+
+    def test_judged_by_shares(self):
+        words = {"phòng": 400, "kinh": 300, "ho": 300, "rn": 1}
+        small, large = scanned.Knowledge(words, {}, [], total=10**6), scanned.Knowledge({w: 10 * n for w, n in words.items()}, {}, [], total=10**7)
+        for token in ("ph0ng", "phònq", "k1nh", "klnh", "h0", "rn", "x"):
+            assert small.true_form(token) == large.true_form(token)
+        assert small.true_form("phònq") == "phòng"
+
     def test_frame(self, spark, know):
         df = spark.createDataFrame([(1, "do ph-\nòng kinh doanh", "a"), (2, None, "b"), (3, "", "c"), (1, "do ph-\nòng kinh doanh", "a"), (4, VI * 400, "d")], "id long, text string, found string")
         rows = scanned.continuous(df, "id", {"text": "t.text"}, know).collect()

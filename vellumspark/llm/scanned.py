@@ -1,18 +1,21 @@
 """Noise in text from scanned pages (problem 1).
 
 Two narrow passes.  The first counts, over all texts, words, words before numbers and short lines that
-interrupt a sentence; lines are compared fuzzily, by a signature in which numbers, codes and runs of capitals
+interrupt a sentence; lines are compared by a signature in which numbers, codes and runs of capitals
 are masked.  What repeats at page edges beyond a share of all broken texts is page furniture; words beyond a
-share of all words are the corpus vocabulary.  Shares, not counts, bound what is gathered: at most one over
-the share entries, at any size.
-
-The second pass removes furniture and page numbers, joins words broken at line ends where the vocabulary
-knows the joined form (a word that is written with its hyphen keeps it), turns misread characters back where
-that makes a rare token a common word, and joins the lines of a paragraph.
+share of all words are the corpus vocabulary.  Shares, not counts, bound what is gathered and decide what is
+rare: a corpus ten times as large is judged alike.
+
+The second pass removes furniture, also where a few letters of a line were misread, and page numbers: those that
+run on from page to page of a text, and lone ones that the words around them don't ask for.  It joins words broken
+at line ends where the vocabulary knows the joined form (a word that is written with its hyphen keeps it, and what
+the vocabulary knows in no form stays as it is), turns misread characters back where that makes a rare token a
+common word, and joins the lines of a paragraph.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .chars import code_points, slices
+from .chars import code_points, normalise, slices
 
 #: Least share of all words that a vocabulary word has (at most one million words).
 WORD_SHARE = 1e-6
@@ -32,6 +35,12 @@ WORD_SHARE = 1e-6
 LINE_SHARE = 1e-3
 #: A token is a misreading if the word it stands for is at least so many times as frequent.
 MISREAD_RATIO = 12
+#: Least share of all words of the word that a token with signs or figures inside is taken for.
+TRUE_SHARE = 2.5e-6
+#: Least share of all words of the word that a token of two or three letters is taken for.
+SHORT_SHARE = 5e-5
+#: So many letters of a furniture line may be misread: one, and one more for every so many letters.
+MISREAD_LETTERS = 20
 #: Above this share a word is mostly followed by a number, so a number on the next line belongs to it.
 NUMBER_SHARE = 0.25
 #: Above this share a word is seen behind numbers.
@@ -46,7 +55,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SEPARATORS = "\"“”‘’«»;:!?/…•–—"
 _TOKEN = re.compile(rf"[^\s{_SEPARATORS}]+")
 _LINE = re.compile(r"\r\n|\n|\r")
-_BREAK = re.compile(r"(?<![^\W\d_])([^\W\d_]+)([-¬­‐])[ \t]*(?:\r\n|\n|\r)[ \t]*([^\W\d_]+)")
+_BREAK = re.compile(r"(?<![^\W\d_])[^\W\d_]+(?:[-¬\u00ad‐][ \t]*(?:\r\n|\n|\r)[ \t]*[^\W\d_]+)+")
+_PARTED = re.compile(r"([-¬\u00ad‐][ \t]*(?:\r\n|\n|\r)[ \t]*)")
+_LINE_END = re.compile(r"[ \t\r\n]")
 _LETTERS = "abcdeghiklmnopqrstuvxy" + "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđ"
 _HYPHEN_END = re.compile(r"[-¬­‐][ \t]*[\r\n]")
 # The capitals of Vietnamese beyond A to Z.
@@ -177,8 +188,8 @@ def _text_of(points: np.ndarray, a: int, b: int) -> str:
 class Knowledge:
     """What the first pass learned: vocabulary, words before numbers, furniture patterns."""
 
-    def __init__(self, words: dict[str, int], number: dict[str, float], signatures: list[str], follows: dict[str, float] | None = None):
-        self.words, self.number, self.follows = words, number, follows or {}
+    def __init__(self, words: dict[str, int], number: dict[str, float], signatures: list[str], follows: dict[str, float] | None = None, total: int = 0):
+        self.words, self.number, self.follows, self.total = words, number, follows or {}, max(total, 1)
         line, inline, anchors = [], [], set()
         kept = [x for x in signatures if re.search(r"[#@^]", x) and x not in ("^", "@")]  # a name alone is no sign of furniture
         kept = [x for x in kept if not any(y != x and y.endswith(" " + x) or y.startswith(x + " ") for y in kept if "#" in y)]
@@ -197,11 +208,41 @@ class Knowledge:
                 rest = [t for t in rest if not set(t) & set(_SEPARATORS)] or [t for t in rest if t in _SEPARATORS] or [t.strip(_SEPARATORS) for t in rest]
                 anchors.add(min(rest, key=lambda t: (words.get(t.lower(), 0), -len(t), t)))
         self.anchors = anchors
+        self.forms = sorted(x for x in kept if len(x) >= 8 and not re.fullmatch(r"[#@^/.,%\W]+", x))
         self.line = re.compile("|".join(f"(?:{p})" for p in line) or r"(?!)")
         self.inline = re.compile(r"(?<!\S)(?:" + "|".join(f"(?:{p})" for p in sorted(inline, key=lambda p: (-len(p), p))) + r")(?!\S)" if inline else r"(?!)")
+        self._start()
+
+    def _start(self) -> None:
+        """The parts that every process builds for itself."""
+        self.sorted = sorted(self.words)
         self.verdict: dict[str, str | None] = {}
         self.slips: dict[str, bool] = {}
         self.judged: dict[int, bool] = {}
+        self.by_token: dict[str, list[str]] = {}
+        for form in self.forms:
+            for token in set(form.split(" ")):
+                self.by_token.setdefault(token, []).append(form)
+
+    def share(self, word: str) -> float:
+        """The share of a word among all words; an unknown one has at most WORD_SHARE."""
+        n = self.words.get(word)
+        return n / self.total if n else WORD_SHARE
+
+    def begins(self, prefix: str) -> bool:
+        """Whether some word of the vocabulary begins so."""
+        at = bisect.bisect_left(self.sorted, prefix)
+        return at < len(self.sorted) and self.sorted[at].startswith(prefix)
+
+    def like_furniture(self, line: str) -> bool:
+        """Whether a line is a furniture line but for a few misread letters."""
+        out, shape = signature(line)
+        for own in {out, shape}:
+            room = 1 + len(own) // MISREAD_LETTERS
+            near = {f for t in own.split(" ") for f in self.by_token.get(t, ()) if abs(len(f) - len(own)) <= room and f != own}
+            if any(_edits(own, f, room) <= room for f in near):
+                return True
+        return False
 
     @staticmethod
     def _pattern(token: str) -> str:
@@ -221,6 +262,16 @@ class Knowledge:
             self.verdict[token] = self._true_form(token)
         return self.verdict[token]
 
+    def is_word(self, token: str) -> bool:
+        """Whether the vocabulary knows a token, as it stands, misread, mistyped or with look-alike letters."""
+        if self.common(token.lower()) or self.misspelt(token):
+            return True
+        form = self.true_form(token)
+        if form is not None and self.common(form.lower()):
+            return True
+        even = normalise(pa.array([token], pa.string()))[0][0].as_py()
+        return even != token and bool(self.common(even.lower()))
+
     def misspelt(self, token: str) -> bool:
         """Whether a token is a common word with one letter doubled or dropped: a typing error just as well as a misreading."""
         low = token.strip(".,()%").lower()
@@ -231,8 +282,9 @@ class Knowledge:
                 self.slips.clear()
             doubled = (low[:i] + low[i + 1 :] for i in range(1, len(low)) if low[i] == low[i - 1])
             dropped = (low[:i] + c + low[i:] for i in range(len(low) + 1) for c in _LETTERS)
-            least = max(5, MISREAD_RATIO * self.common(low))
-            self.slips[token] = any(self.common(w) >= least for w in doubled) or any(self.common(w) >= least for w in dropped)
+            least = MISREAD_RATIO * self.share(low)
+            common = lambda w: self.share(w) >= least and w in self.words
+            self.slips[token] = any(map(common, doubled)) or any(map(common, dropped))
         return self.slips[token]
 
     def _true_form(self, token: str) -> str | None:
@@ -251,55 +303,74 @@ class Knowledge:
             return None  # a firm's code
         if re.fullmatch(r"[a-z]0", core):  # a word of two letters that ends in o; a code is rarely written so
             word = core[0] + "o"
-            return token.replace(core, word) if self.common(word) >= 100 else None
+            return token.replace(core, word) if word in self.words and self.share(word) >= SHORT_SHARE else None
         if re.search(r"\d", low) and (not re.search(r"[^\W\d_]", low) or re.fullmatch(r"(?:[a-z]{1,2}\d+|\d+[a-z]{1,3}|[a-z]\d[a-z])", low)):
             if not re.search(r"[^\x00-\x7f]", low) and not (re.search(r"[01]", low) and len(low) > 2 and low.islower() and core.islower()):
                 return None
-        own = self.common(low) if low.isalpha() else 0
-        spots: list[tuple[int, int, str]] = []
-        for wrong, right in CONFUSED:
-            at = low.find(wrong)
-            while at >= 0:
-                spots.append((at, len(wrong), right))
-                at = low.find(wrong, at + 1)
-        for m in re.finditer(r"([aăâeêioôơuưy])\.(?=[^\W\d_]|$)", low if "." in core else ""):
-            spots.append((m.start(), 2, DOTTED[m.group(1)]))
-        best, count = None, 0
-        for chosen in _choices(spots):
-            new, at = [], 0
-            for a, n, right in chosen:
-                new += [low[at:a], right]
-                at = a + n
-            word = "".join(new) + low[at:]
-            pieces = _WORD.findall(word)
-            if not pieces or len("".join(pieces)) < len(word.replace("-", "")):
-                continue
-            n = min(self.common(x) for x in pieces)
-            if n > count:
-                best, count = word, n
-        if best is None or count < MISREAD_RATIO * max(own, 1 if low.isalpha() else 0) or count < 5:
-            return None
-        if low.isalpha() and len(low) < 4 and count < 100:
+        best = self._likeliest(low)
+        if best is None or self._share_of(best) < (MISREAD_RATIO * self.share(low) if low.isalpha() else TRUE_SHARE):
+            return None  # a token with signs or figures inside is no word anyway
+        if low.isalpha() and len(low) < 4 and self._share_of(best) < SHORT_SHARE:
             return None
         best = best.upper() if core.isupper() and len(core) > 1 else best[:1].upper() + best[1:] if core[:1].isupper() else best
         return token.replace(core, best)
 
 
-def _choices(spots: list[tuple[int, int, str]], most: int = 4) -> Iterator[tuple[tuple[int, int, str], ...]]:
-    """Sets of disjoint spots, at most ``most`` at once, in reading order."""
+    def _share_of(self, token: str) -> float:
+        return min(self.share(x) for x in _WORD.findall(token))
 
-    def grow(start: int, chosen: tuple, end: int) -> Iterator[tuple]:
-        for k in range(start, len(spots)):
-            if spots[k][0] >= end:
-                pick = (*chosen, spots[k])
-                yield pick
-                if len(pick) < most:
-                    yield from grow(k + 1, pick, spots[k][0] + spots[k][1])
+    def _likeliest(self, low: str) -> str | None:
+        """The most frequent reading of a token that turns any number of its spots back and holds known words only.
 
-    spots = sorted(set(spots))
-    if len(spots) > 12:
-        return
-    yield from grow(0, (), -1)
+        The readings grow letter by letter, and only those with which a word of the vocabulary begins go on, so the
+        number of spots doesn't matter.  Of equally frequent ones the first in the alphabet is taken.
+        """
+        turns: dict[int, list[tuple[int, str]]] = {}
+        for wrong, right in CONFUSED:
+            at = low.find(wrong)
+            while at >= 0:
+                turns.setdefault(at, []).append((len(wrong), right))
+                at = low.find(wrong, at + 1)
+        if "." in low:
+            for m in re.finditer(r"([aăâeêioôơuưy])\.(?=[^\W\d_]|$)", low):
+                turns.setdefault(m.start(), []).append((2, DOTTED[m.group(1)]))
+        if not turns:
+            return None
+        # (place in the token, reading so far, begin of its last word): a hyphen ends a word, other signs and figures end the reading.
+        alive, ready = {(0, "", 0)}, []
+        while alive:
+            grown = set()
+            for at, text, word in alive:
+                if at == len(low):
+                    ready.append(text)
+                    continue
+                for n, new in [(1, low[at]), *turns.get(at, ())]:
+                    begin = word
+                    if new == "-":
+                        if text[word:] not in self.words:
+                            continue
+                        begin = len(text) + 1
+                    elif not _WORD.fullmatch(new):
+                        continue
+                    reading = text + new
+                    if begin == len(reading) or self.begins(reading[begin:]):
+                        grown.add((at + n, reading, begin))
+            alive = grown
+        known = [r for r in ready if r != low and (x := _WORD.findall(r)) and all(w in self.words for w in x)]
+        return min(known, key=lambda r: (-self._share_of(r), r), default=None)
+
+
+def _edits(a: str, b: str, most: int) -> int:
+    """The edit distance of two strings, or more than ``most``."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+        if min(row) > most:
+            return most + 1
+    return row[-1]
 
 
 def learn(*texts: DataFrame) -> Knowledge:
@@ -318,6 +389,7 @@ def learn(*texts: DataFrame) -> Knowledge:
         | ((F.col("kind") == "s") & (F.col("n") >= F.greatest(F.col("lines") * LINE_SHARE, F.lit(3))))
     ).select("kind", "key", "n")
     words, number, follows, sigs = {}, {}, {}, []
+    total = (counts.where("kind = 't' and key = 'words'").agg(F.sum("n")).first()[0]) or 0
     for kind, key, n in kept.collect():
         if kind == "w":
             words[key] = n
@@ -328,13 +400,28 @@ def learn(*texts: DataFrame) -> Knowledge:
         else:
             sigs.append(key)
     share = lambda x: {w: n / words[w] for w, n in x.items() if w in words}
-    return Knowledge(words, share(number), sigs, share(follows))
+    return Knowledge(words, share(number), sigs, share(follows), total)
+
+
+_PAGE = re.compile(r"([\[(~\-–—|\s]*)(\d{1,4})(?:\s*/\s*(\d{1,4}))?[\])~\-–—|\s]*")
+
+
+def _running(lines: list[str]) -> set[int]:
+    """The lines that are numbers and nothing else and go on by one from one such line to a later one: page numbers of a text's pages."""
+    found = [(k, int(m.group(2)), m.group(3)) for k, line in enumerate(lines) if (m := _PAGE.fullmatch(line.strip())) and line.strip()]
+    held = {(n, of): k for k, n, of in reversed(found)}
+    out = set()
+    for k, n, of in found:
+        later = held.get((n + 1, of))
+        if later is not None and later > k + 1:
+            out |= {k, later}
+    return out
 
 
 def _is_page_number(line: str, before: str, after: str, know: Knowledge) -> bool:
-    """A line that is nothing but a page number, and not a number that the lines around it ask for."""
+    """A lone line that is nothing but a page number, and not a number that the lines around it ask for."""
     short = line.strip()
-    m = re.fullmatch(r"([\[(~\-–—|\s]*)(\d{1,4})(?:\s*/\s*(\d{1,4}))?[\])~\-–—|\s]*", short)
+    m = _PAGE.fullmatch(short)
     if not m or not short:
         return False
     if m.group(1):
@@ -362,9 +449,14 @@ def _drop_furniture(text: str, know: Knowledge) -> tuple[str, bool]:
             text = re.sub(r"(?:\r\n|\n|\r)[ \t]*\0[ \t]*(?=[\r\n]|$)", "", text).replace("\0", " ")
     if "\n" in text or "\r" in text:
         lines, kept = _LINE.split(text), []
+        running = _running(lines)
+        width = max(map(len, lines))
         for k, line in enumerate(lines):
             short = line.strip()
             before = next((x for x in reversed(kept) if x.strip()), "")
+            if k in running or short and 0 < k and len(short) <= 0.8 * width and len(short.split()) <= 10 and before.rstrip()[-1:] not in ".!?:;" and know.like_furniture(short):
+                found = True
+                continue
             if short and (0 < k < len(lines) - 1 or len(lines) > 2) and _is_page_number(line, before, next((x for x in lines[k + 1 :] if x.strip()), ""), know) or short and know.line.fullmatch(short):
                 found = True
                 continue
@@ -380,19 +472,29 @@ def _join_words(text: str, know: Knowledge) -> tuple[str, bool]:
 
     def join(m: re.Match) -> str:
         nonlocal found
-        a, mark, b = m.groups()
-        whole, hyphened = (a + b).lower(), f"{a}-{b}".lower()
-        if mark == "-" and know.common(hyphened) > know.common(whole) and know.common(hyphened) > 2:
-            return f"{a}-{b}"
-        found = True
-        return a + b
+        pieces = _PARTED.split(m.group())  # words and the marks between them
+        out, at = pieces[0], 1
+        while at < len(pieces):
+            # a word may be broken more than once: the longest known run of pieces is one word
+            for end in range(len(pieces), at, -2):
+                run = [_LINE_END.sub("", x) for x in [out, *pieces[at:end]]]
+                marks = {x for x in run[1::2]}
+                whole, hyphened = "".join(run[::2]), "-".join(run[::2])
+                if marks == {"-"} and know.common(hyphened.lower()) > know.common(whole.lower()):
+                    out, at = hyphened, end
+                    break
+                # '-' and its like may part a word or two; the other marks part one word only
+                if not marks & set("-‐") or know.is_word(whole):
+                    found = True
+                    out, at = whole, end
+                    break
+            else:  # known in no form
+                if at + 2 < len(pieces):
+                    return out + pieces[at] + _BREAK.sub(join, "".join(pieces[at + 1 :]))
+                return out + "".join(pieces[at:])
+        return out
 
-    for _ in range(3):  # a word may be broken twice
-        new = _BREAK.sub(join, text)
-        if new == text:
-            break
-        text = new
-    return text, found
+    return _BREAK.sub(join, text), found
 
 
 def repair(text: str, know: Knowledge) -> tuple[str, bool]:
@@ -457,12 +559,13 @@ def continuous(df: DataFrame, key: str, fields: dict[str, str], know: Knowledge,
     names = list(fields)
     labels = [fields[c] for c in names]
     rows = df.select(F.col(key).cast("long").alias("__id"), *[F.col(c).alias(f"__t{i}") for i, c in enumerate(names)])
-    shared = df.sparkSession.sparkContext.broadcast((know.words, know.number, know.follows, know.line.pattern, know.inline.pattern, know.anchors))  # bounded by the shares
+    shared = df.sparkSession.sparkContext.broadcast((know.words, know.number, know.follows, know.total, know.forms, know.line.pattern, know.inline.pattern, know.anchors))  # bounded by the shares
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Knowledge.__new__(Knowledge)
-        own.words, own.number, own.follows, line, inline, own.anchors = shared.value
-        own.line, own.inline, own.verdict, own.judged, own.slips = re.compile(line), re.compile(inline), {}, {}, {}
+        own.words, own.number, own.follows, own.total, own.forms, line, inline, own.anchors = shared.value
+        own.line, own.inline = re.compile(line), re.compile(inline)
+        own._start()
         for batch in slices(batches, *range(1, len(labels) + 1)):
             for i, label in enumerate(labels):
                 out = []
