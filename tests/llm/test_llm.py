@@ -314,6 +314,16 @@ class TestPacking:
         out = packing.pack(spark.createDataFrame([(i, 5) for i in range(200)], "doc_id long, n_tokens long"), 10).toPandas()
         assert out.container_id.nunique() == 100 and (out.groupby("container_id").size() == 2).all()
 
+    def test_slots_of_a_hot_length(self, spark):
+        """One length is spread over many plan rows; documents meet few of them, and each takes one slot."""
+        r = random.Random(6)
+        rows = [(i, 3 if i % 3 else r.randint(4, 40)) for i in range(900)]
+        out = packing.pack_lengths(spark.createDataFrame(rows, "doc_id long, n_tokens long"), {5: 41, 9: 16}).toPandas()
+        for target, size in ((5, 41), (9, 16)):
+            mine = out[out.target_id == target]
+            assert mine.groupby("doc_id").n_tokens.sum().to_dict() == dict(rows) and mine.groupby("container_id").n_tokens.sum().max() <= size
+            assert not mine.duplicated(["doc_id", "part"]).any()
+
     def test_texts(self, spark):
         docs = spark.createDataFrame([(1, VI), (2, None), (3, ""), (4, VI * 300)], "doc_id long, text string")
         targets = spark.createDataFrame([(1, 64), (2, 2048)], "target_id long, capacity_tokens int")

@@ -14,7 +14,7 @@ from __future__ import annotations
 import base64
 import bisect
 import os
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -147,50 +147,64 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
 
 def pack(lengths: DataFrame, capacity: int) -> DataFrame:
-    """Rows ``(doc_id, part, container_id, n_tokens)`` of one capacity.
+    """Rows ``(doc_id, part, container_id, n_tokens)`` of one capacity; see ``pack_lengths``."""
+    return pack_lengths(lengths, {0: capacity}).drop("target_id")
+
+
+def pack_lengths(lengths: DataFrame, capacities: dict[int, int]) -> DataFrame:
+    """Rows ``(target_id, doc_id, part, container_id, n_tokens)`` for every capacity by target id, ranked in one pass.
 
     ``lengths`` has doc_id and n_tokens.  A document of 0 tokens takes no room and goes to container 1.  A document
     over the capacity has several parts, numbered from 0, all but the last as long as the capacity.  Repeated
     rows of a doc_id are packed each for itself.  Extra columns are left aside; an empty table gives no rows.
     """
     spark = lengths.sparkSession
-    whole = F.floor(F.col("n_tokens") / capacity).cast("int")
-    rest = F.col("n_tokens") % capacity
-    parts = F.when(F.col("n_tokens") <= capacity, F.array(F.col("n_tokens"))).otherwise(
-        F.concat(F.array_repeat(F.lit(capacity).cast("long"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    targets = F.array(*[F.struct(F.lit(t).cast("long").alias("target_id"), F.lit(c).cast("long").alias("capacity")) for t, c in sorted(capacities.items())])
+    each_target = lengths.where("doc_id is not null").select("doc_id", "n_tokens", F.explode(targets).alias("t")).select("t.target_id", "t.capacity", "doc_id", "n_tokens")
+    whole = F.floor(F.col("n_tokens") / F.col("capacity")).cast("int")
+    rest = F.col("n_tokens") % F.col("capacity")
+    parts = F.when(F.col("n_tokens") <= F.col("capacity"), F.array(F.col("n_tokens"))).otherwise(
+        F.concat(F.array_repeat(F.col("capacity"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
     )
-    pieces = lengths.where("doc_id is not null").select("doc_id", F.posexplode(parts).alias("part", "length"))
-    histogram = {r["length"]: r["n"] for r in pieces.where("length > 0").groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
-    rows = plan(histogram, capacity)
-    schema = "length long, first_rank long, last_rank long, first_container long, each long"
-    slots = spark.createDataFrame(pd.DataFrame(rows, columns=["length", "first_rank", "last_rank", "first_container", "each"]).astype("int64"), schema)
-    if len(rows) <= BROADCAST_ROWS:
-        slots = F.broadcast(slots)
-    n_salts = max(1, -(-sum(histogram.values()) // PART_ROWS))
-    salted = pieces.where("length > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), F.lit(n_salts)).cast("int"))
+    pieces = each_target.select("target_id", "doc_id", F.posexplode(parts).alias("part", "length"))
+    # At most as many rows as the capacities' sum.
+    counted = pieces.where("length > 0").groupBy("target_id", "length").agg(F.count(F.lit(1)).alias("n")).collect()
+    slots: list[tuple[int, ...]] = []
+    widths: list[tuple[int, ...]] = []
+    for target, capacity in sorted(capacities.items()):
+        histogram = {r["length"]: r["n"] for r in counted if r["target_id"] == target}
+        rows = plan(histogram, capacity)
+        number = Counter(r[0] for r in rows)
+        for length, n in histogram.items():
+            # Ranks fall into buckets as wide as the length's plan rows are on average, so that a document meets few of them.
+            widths.append((target, length, max(1, -(-n // number[length])), -(-n // PART_ROWS)))
+        width = {w[1]: w[2] for w in widths if w[0] == target}
+        slots += [(target, length, bucket, a, b, first, each) for length, a, b, first, each in rows for bucket in range(a // width[length], b // width[length] + 1)]
+    frame = lambda rows, names: spark.createDataFrame(pd.DataFrame(rows, columns=names.split()).astype("int64"), ", ".join(f"{n} long" for n in names.split()))
+    slot = frame(slots, "target_id length bucket first_rank last_rank first_container each")
+    of_length = F.broadcast(frame(widths, "target_id length width salts"))  # as many rows as `counted`
+    if len(slots) <= BROADCAST_ROWS:
+        slot = F.broadcast(slot)
+    salted = pieces.where("length > 0").join(of_length, ["target_id", "length"]).withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), F.col("salts")).cast("int"))
     offsets = (
-        salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-        .select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("offset"))
+        salted.groupBy("target_id", "length", "salt").agg(F.count(F.lit(1)).alias("n"))
+        .select("target_id", "length", "salt", (F.sum("n").over(Window.partitionBy("target_id", "length").orderBy("salt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("offset"))
     )
-    local = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "part")) - 1
-    ranked = salted.withColumn("local", local).join(offsets, ["length", "salt"]).select("doc_id", "part", "length", (F.col("local") + F.col("offset")).alias("rank"))
-    placed = ranked.join(slots, "length").where("rank between first_rank and last_rank")
+    local = F.row_number().over(Window.partitionBy("target_id", "length", "salt").orderBy("doc_id", "part")) - 1
+    ranked = salted.withColumn("local", local).join(offsets, ["target_id", "length", "salt"]).select("target_id", "doc_id", "part", "length", "width", (F.col("local") + F.col("offset")).alias("rank"))
+    placed = ranked.withColumn("bucket", F.floor(F.col("rank") / F.col("width"))).join(slot, ["target_id", "length", "bucket"]).where("rank between first_rank and last_rank")
     container = F.col("first_container") + F.floor((F.col("rank") - F.col("first_rank")) / F.col("each"))
-    return placed.select("doc_id", "part", container.cast("long").alias("container_id"), F.col("length").alias("n_tokens")).unionAll(
-        pieces.where("length = 0 or length is null").select("doc_id", "part", F.lit(1).cast("long").alias("container_id"), F.lit(0).cast("long").alias("n_tokens"))
+    return placed.select("target_id", "doc_id", "part", container.cast("long").alias("container_id"), F.col("length").alias("n_tokens")).unionAll(
+        pieces.where("length = 0 or length is null").select("target_id", "doc_id", "part", F.lit(1).cast("long").alias("container_id"), F.lit(0).cast("long").alias("n_tokens"))
     )
 
 
 def pack_all(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """``(target_id, doc_id, part, container_id, n_tokens)`` for every capacity in ``targets`` (a few rows)."""
-    lengths = cut_lineage(token_counts(documents, path))
-    out = None
-    for r in targets.where("capacity_tokens > 0").select("target_id", "capacity_tokens").distinct().orderBy("target_id").collect():
-        one = pack(lengths, r["capacity_tokens"]).select(F.lit(r["target_id"]).cast("long").alias("target_id"), "doc_id", "part", "container_id", "n_tokens")
-        out = one if out is None else out.unionAll(one)
-    if out is None:
-        out = documents.sparkSession.createDataFrame([], "target_id long, doc_id long, part int, container_id long, n_tokens long")
-    return out
+    capacities = {r["target_id"]: r["capacity_tokens"] for r in targets.where("capacity_tokens > 0 and target_id is not null").select("target_id", "capacity_tokens").distinct().orderBy("target_id", "capacity_tokens").collect()}
+    if not capacities:
+        return documents.sparkSession.createDataFrame([], "target_id long, doc_id long, part int, container_id long, n_tokens long")
+    return pack_lengths(cut_lineage(token_counts(documents, path)), capacities)
 
 
 def fill(packed: DataFrame, targets: DataFrame) -> DataFrame:
