@@ -186,8 +186,21 @@ class TestMatching:
         assert "".join(got) == text and len(got) == 4
         spans = one(spark, text, contexts.sentence_spans(F.col("x")))
         assert [text[s.start : s.end] for s in spans] == got
-        assert contexts.context_of("Một. Hai ba. Bốn. Năm.", 5, 3, contexts._spans("Một. Hai ba. Bốn. Năm.")) == "Một. Hai ba. Bốn...."
-        assert contexts.context_of("a\t1\t2\nb\t3\t4\nc\t5\t6\nd", 7, 1, []) == "a 1 2\nb 3 4\nc 5 6..."
+
+    @pytest.mark.parametrize(
+        ("text", "found", "context"),
+        [
+            ("Một. Hai ba. Bốn. Năm.", "Hai", "Một. Hai ba. Bốn...."), ("a\t1\t2\nb\t3\t4\nc\t5\t6\nd", "b", "a 1 2\nb 3 4\nc 5 6..."), ("một câu", "câu", "một câu"),
+            ("x " * 300 + ". Từ khóa đây. " + "y " * 300 + ".", "khóa", "Từ khóa đây."), ("z" * 500 + " khóa " + "w" * 500, "khóa", "z" * 399 + " khóa " + "w" * 399),
+            ("a\t1\t" + "số " * 400, "số", "a 1 " + ("số " * 265).strip()), ("\n\n", "\n", ""), ("A.\n\n\n\nB b.", "B", "A.\n\nB b."),
+        ],
+    )
+    def test_context(self, spark, text, found, context):
+        at = text.index(found)
+        df = spark.createDataFrame([(1, text, at, at + len(found))], "k long, t string, a int, b int").selectExpr(
+            "k", "t", "array(struct('f' keyword_found, 'c' keyword_canonical, 'g' category, a position, b end_position, 'exact' match_type, 100.0D similarity, 0 levenshtein_distance)) matches"
+        )
+        assert [r.sentence_context for r in contexts.context_rows(df, "k", "t").collect()] == [context]
 
     def test_merge_near(self, spark):
         rows = [(10, 90.0), (100, 95.0), (500, 80.0)]
