@@ -143,9 +143,62 @@ class TestMatching:
     def test_fuzzy(self, spark):
         docs = spark.createDataFrame([(1, "the smart pipelie, smart pipeline and together"), (2, "smart, pipelie"), (3, None)], "id int, text string")
         forms = spark.createDataFrame([("smart pipeline", "smart pipeline", "t"), ("tether", "tether", "t")], "form string, canonical string, category string")
-        got = matching.fuzzy_matches(docs, "id", "text", forms, sizes=[1, 2]).collect()
+        got = matching.fuzzy_matches(docs, "id", "text", forms).collect()
         assert [(r.id, r.gram, r.canonical, r.levenshtein_distance, r.times) for r in got] == [(1, "smart pipelie", "smart pipeline", 1, 1)]
 
+    def test_search_against_brute_force(self, spark, monkeypatch):
+        """Every run of words against every form, guard by guard; blocks of the dictionary change nothing."""
+        r = random.Random(12)
+        letters = "aăbcđeghiklmnoprstuư"
+        word = lambda: "".join(r.choice(letters) for _ in range(r.choice([2, 3, 4, 6, 9, 12])))
+        forms = sorted({" ".join(word() for _ in range(r.choice([1, 1, 2, 3]))) for _ in range(40)} | {"x" * 70, "kiểm tra nội bộ"})
+
+        def noisy(w):
+            w = list(w)
+            for _ in range(r.choice([0, 0, 1, 1, 2])):
+                at = r.randrange(len(w))
+                w[at] = r.choice(["", w[at] * 2, r.choice(letters)])
+            return "".join(w)
+
+        texts = []
+        for _ in range(60):
+            parts = [" ".join(noisy(w) for w in r.choice(forms).split(" ")) if r.random() < 0.7 else word() for _ in range(12)]
+            texts.append("".join(p + r.choice([" ", "  ", ", ", " (", "\n"]) for p in parts))
+        texts[0] = "x" * 69 + " và " + "x" * 71 + " kiểm tra nộii bộ"
+
+        def brute(text):
+            low, out = text.lower(), []
+            tokens = [(m.group().strip(matching.EDGES), m.group()[-1] in matching.BREAKS, m.start()) for m in re.finditer(r"\S+", low)]
+            tokens = [t for t in tokens if t[0]]
+            for form in (f for f in forms if len(f) >= 6):
+                k = form.split(" ")
+                for i in range(len(tokens) - len(k) + 1):
+                    run = tokens[i : i + len(k)]
+                    window, edits = " ".join(t[0] for t in run), int(len(form) * 0.15 + 0.5) + 1
+                    if any(t[1] for t in run[:-1]) or not int(0.73 * len(window)) <= len(form) <= int(1.37 * len(window)) + 1 or abs(len(window) - len(form)) > edits or len(set(form) - set(window)) > edits or window in matching.COMMON_WORDS:
+                        continue
+                    gap, dist = abs(len(window) - len(form)), matching.edit_distance(window, form)
+                    if len(k) == 1 and (len(form) <= 8 and gap > 1 or len(form) <= 7 and dist > 1 or len(form) <= 10 and dist > 2):
+                        continue
+                    alike = lambda a, b: a == b or (len(a) == len(b) and matching.indel_ratio(a, b) >= 0.85 if min(len(a), len(b)) <= 3 else min(len(a), len(b)) / max(len(a), len(b)) > 0.65 and matching.indel_ratio(a, b) >= 0.75)
+                    sim = 100 * matching.indel_ratio(window, form)
+                    if 85 <= sim < 100 and (len(k) == 1 or all(alike(t[0], x) for t, x in zip(run, k, strict=True))):
+                        out.append((window, form, run[0][2], run[0][2] + len(window), round(sim, 2), dist))
+            return sorted(out)
+
+        docs = spark.createDataFrame(list(enumerate(texts)) + [(900, None), (901, "")], "id int, text string")
+        f = spark.createDataFrame([(x, x, "c") for x in forms], "form string, canonical string, category string")
+        every = matching.search(docs, "text", f, fuzzy=True, resolve=False).select("id", F.explode("matches").alias("m")).where("m.match_type = 'fuzzy'").collect()
+        found = {}
+        for x in every:
+            found.setdefault(x.id, []).append((x.m.keyword_found, x.m.keyword_canonical, x.m.position, x.m.end_position, x.m.similarity, x.m.levenshtein_distance))
+        want = {i: b for i, t in enumerate(texts) if (b := brute(t))}
+        assert {i: sorted(v) for i, v in found.items()} == want and sum(map(len, want.values())) > 100
+        rows = lambda: sorted(tuple(x) for x in matching.search(docs, "text", f, fuzzy=True).select("id", F.explode("matches").alias("m")).select("id", "m.*").collect())
+        whole = rows()
+        monkeypatch.setattr(matching, "MAX_FORMS", 7)
+        assert rows() == whole and any(x[6] == "exact" for x in whole) and any(x[6] == "fuzzy" for x in whole)
+
     def test_fuzzy_sizes_of_the_forms(self, spark, tmp_path):
         from vellumspark.plans import text_queries
 

@@ -1,24 +1,26 @@
-"""Dictionary matching: exact spans, fuzzy n-grams, overlap resolution.
+"""Dictionary matching: exact spans, near misses with positions, overlap resolution.
 
-Exact spans need character positions, which Spark SQL's splitting loses; they are found in one narrow pass by an
-automaton over the forms, whose number is checked before it is sent out.  Beyond the bound the n-gram join takes
-over, which shuffles.  Fuzzy candidates are joined on word count with cheap built-in guards first; the exact
-similarity is computed last, on distinct n-grams only.
+The dictionary is the stated query set: it is sent out in blocks of bounded size, and every text is passed once, in Arrow
+batches, in one narrow pass without a shuffle.  Exact spans are found by an automaton over the forms.  Near misses are found
+word by word: each distinct word of a batch is compared once with all words of the forms, by letter counts first and then by
+a bit-parallel common subsequence for all pairs at once; a form is looked for only where its longest word is resembled.
 """
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import tone_normal, words
 
-#: Forms up to this number are sent to the workers; more are joined.
+#: Forms in a block that is sent to the workers; larger dictionaries are searched block by block.
 MAX_FORMS = 200_000
 MATCH = "struct<keyword_found:string,keyword_canonical:string,category:string,position:int,end_position:int,match_type:string,similarity:double,levenshtein_distance:int>"
 # Everyday words that are never taken for a misspelt term.
@@ -33,6 +35,8 @@ COMMON_WORDS = (
 # Signs that end a clause at a token's end, and signs stripped from a token's edges.
 BREAKS = ",;:.!?\n—–)]}\"”"
 EDGES = ".,;:!?()[]{}\"'“”—–/\\"
+#: A word of a phrase resembles that of a form from this similarity on.
+WORD_ALIKE = 0.75
 #: Noise signs near a short acronym that betray a misread page, and how many make it so.
 NOISE, NOISE_LIMIT, NOISE_REACH = "@#%^*~`'{}/\\", 3, 25
 
@@ -108,36 +112,240 @@ class Scanner:
         return out
 
 
-def exact_matches(docs: DataFrame, text: str, forms: DataFrame) -> DataFrame:
-    """``docs`` with ``matches``: the exact matches of every text (tone marks brought to one place on both sides).
+class NearMisses:
+    """Near misses of forms in texts: runs of words, parted by no clause end, that resemble a form word by word and as a whole."""
+
+    def __init__(self, forms: dict[str, tuple[str, str]], threshold: float, exclusions: frozenset[str]):
+        self.threshold, self.exclusions = threshold, exclusions
+        self.forms = [f for f in forms if len(f) >= 6 and f not in exclusions]
+        self.parts = [f.split(" ") for f in self.forms]
+        self.words = sorted({w for p in self.parts for w in p})
+        place = {w: i for i, w in enumerate(self.words)}
+        self.parts_at = [[place[w] for w in p] for p in self.parts]
+        #: By word: the forms whose longest word it is, where it stands in them, how far behind it their next longest word stands, and that word.
+        self.anchors: dict[int, list[tuple[int, int, int, int]]] = {}
+        for k, p in enumerate(self.parts):
+            at, *rest = sorted(range(len(p)), key=lambda i: (-len(p[i]), i))
+            next_at = rest[0] if rest else at
+            self.anchors.setdefault(place[p[at]], []).append((k, at, next_at - at, place[p[next_at]]))
+        self.floor = min(WORD_ALIKE, threshold / 100)
+        self.seen: dict[str, tuple[str, bool, dict[int, bool] | None]] = {}
+        self.judged: dict[tuple[str, int], tuple[float, int] | None] = {}
+        letters = sorted({c for w in self.words for c in w})
+        self.code = {c: i for i, c in enumerate(letters)}
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        counts = np.zeros((len(self.words), len(letters)), np.int64)
+        self.mask = np.zeros((len(self.words), len(letters)), np.uint64)
+        for i, w in enumerate(self.words):
+            for j, c in enumerate(w):
+                counts[i, self.code[c]] += 1
+                if j < 63:
+                    self.mask[i, self.code[c]] |= np.uint64(1 << j)
+        #: One feature a letter and occurrence: their dot product is the number of common letters.
+        self.features = np.array([(c, k) for c in range(len(letters)) for k in range(int(counts[:, c].max(initial=0)))], np.int64).reshape(-1, 2)
+        self.bag = (counts[:, self.features[:, 0]] > self.features[:, 1]).astype(np.float32)
+        self.of_point = np.full(ord(letters[-1]) + 1 if letters else 1, -1, np.int64)
+        self.of_point[[ord(c) for c in letters]] = np.arange(len(letters))
+
+    def _resembled(self, tokens: list[str]) -> list[dict[int, bool] | None]:
+        """By token: the form words that it equals or resembles, and whether closely enough for a word of a phrase."""
+        out: list[dict[int, bool] | None] = []
+        for start in range(0, len(tokens), 2000):
+            part = tokens[start : start + 2000]
+            size = np.array([len(t) for t in part], np.int64)
+            points = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)
+            row = np.repeat(np.arange(len(part)), size)
+            letter = np.where(points < len(self.of_point), self.of_point[np.minimum(points, len(self.of_point) - 1)], -1)
+            codes = np.full((len(part), int(size.max(initial=0))), -1, np.int64)
+            codes[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = letter
+            n = len(self.code)
+            counts = np.bincount(row[letter >= 0] * n + letter[letter >= 0], minlength=len(part) * n).reshape(len(part), n)
+            bag = (counts[:, self.features[:, 0]] > self.features[:, 1]).astype(np.float32)
+            i, w = np.nonzero(2 * (bag @ self.bag.T) + 1e-4 >= self.floor * (size[:, None] + self.size[None, :]))
+            common = self._common(codes, i, w)
+            for x in np.flatnonzero((self.size[w] > 63) | (size[i] > 63)):  # beyond the bits of a word
+                common[x] = round(indel_ratio(part[i[x]], self.words[w[x]]) * (size[i[x]] + self.size[w[x]]) / 2)
+            ratio = 2 * common / (size[i] + self.size[w])
+            low, high = np.minimum(size[i], self.size[w]), np.maximum(size[i], self.size[w])
+            same = ratio == 1.0
+            # fixed values: short words need equal length and .85, longer ones similar length and .75
+            close = same | np.where(low <= 3, (low == high) & (ratio >= 0.85), (low / high > 0.65) & (ratio >= WORD_ALIKE))
+            found: list[dict[int, bool] | None] = [None] * len(part)
+            for x in np.flatnonzero(close | (ratio >= self.floor)):
+                held = found[i[x]]
+                if held is None:
+                    held = found[i[x]] = {}
+                held[int(w[x])] = bool(close[x])
+            out += found
+        return out
 
-    Null and empty texts have an empty list.  Positions are those of the tone-normalised text, which has as many
-    characters as the text itself.
-    """
-    rows = forms.select(tone_normal(F.col("form")).alias("form"), "canonical", "category").orderBy("form", "canonical").limit(MAX_FORMS + 1).collect()
-    if len(rows) > MAX_FORMS:
-        raise ValueError(f"more than {MAX_FORMS} forms: use ngram_counts, which joins them")
-    shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
-    names = [x.split(":")[0] for x in MATCH[7:-1].split(",")]
+    def _common(self, codes: np.ndarray, i: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Lengths of the longest common subsequences of tokens i and form words w, all pairs at once, one bit a letter."""
+        rest = np.full(len(i), np.uint64(2**64 - 1))
+        with np.errstate(over="ignore"):
+            for step in range(codes.shape[1]):
+                c = codes[i, step]
+                hit = np.where(c >= 0, self.mask[w, np.maximum(c, 0)], np.uint64(0))
+                rest = (rest + (rest & hit)) | (rest & ~hit)
+        inside = (np.uint64(1) << np.minimum(self.size[w], 63).astype(np.uint64)) - np.uint64(1)
+        return np.bitwise_count(~rest & inside).astype(np.int64)
+
+    def learn(self, texts: list[str]) -> None:
+        """Compares the words of a batch that were not seen before."""
+        if len(self.seen) > 500_000:
+            self.seen.clear()
+        raw = sorted({t for text in texts for t in text.split()} - self.seen.keys())
+        clean = [t.strip(EDGES) for t in raw]
+        for t, c, near in zip(raw, clean, self._resembled(clean) if self.words else [None] * len(raw), strict=True):
+            self.seen[t] = c, t[-1] in BREAKS, near if c else None
+
+    def _judge(self, window: str, k: int) -> tuple[float, int] | None:
+        """(similarity in per cent, edit distance) of a run of words and a form; None where a guard speaks against it."""
+        form = self.forms[k]
+        a, b, edits = len(window), len(form), int(len(form) * (1 - self.threshold / 100) + 0.5) + 1
+        unlike = window == form or window in COMMON_WORDS or window in self.exclusions
+        if unlike or abs(a - b) > edits or not int(0.73 * a) <= b <= int(1.37 * a) + 1 or len(set(form) - set(window)) > edits:
+            return None
+        distance = edit_distance(window, form)
+        if " " not in form and (b <= 8 and abs(a - b) > 1 or b <= 7 and distance > 1 or b <= 10 and distance > 2):
+            return None
+        alike = 100 * indel_ratio(window, form)
+        return (round(alike, 2), distance) if self.threshold <= alike < 100 else None
+
+    def find(self, text: str, forms: dict[str, tuple[str, str]]) -> list[tuple]:
+        """Near misses of a lower-case text whose words were learned."""
+        tokens = [x for t in text.split() if (x := self.seen[t])[0]]
+        out, starts, number = [], None, len(tokens)
+        for at, (_, _, near) in enumerate(tokens):
+            for w in near or ():
+                for k, place, step, other in self.anchors.get(w, ()):
+                    first = at - place
+                    if step and (first < 0 or at + step >= number or not (beside := tokens[at + step][2]) or not beside.get(other)):
+                        continue
+                    words = self.parts_at[k]
+                    run = tokens[first : first + len(words)] if first >= 0 else []
+                    if len(run) < len(words) or any(brk for _, brk, _ in run[:-1]):
+                        continue
+                    if len(words) > 1 and not all(r and r.get(x) for (_, _, r), x in zip(run, words, strict=True)):
+                        continue
+                    window = " ".join(r[0] for r in run)
+                    if (window, k) not in self.judged:
+                        if len(self.judged) > 500_000:
+                            self.judged.clear()
+                        self.judged[window, k] = self._judge(window, k)
+                    if (hit := self.judged[window, k]) is None:
+                        continue
+                    if starts is None:
+                        starts = [m.start() for m in re.finditer(r"\S+", text) if self.seen[m.group()][0]]
+                    canonical, category = forms[self.forms[k]]
+                    out.append((window, canonical, category, starts[first], starts[first] + len(window), "fuzzy", *hit))
+        return out
 
-    @F.pandas_udf(f"array<{MATCH}>")
-    def find(s: pd.Series) -> pd.Series:
-        scanner = _scanner(shared)
-        return s.map(lambda t: [dict(zip(names, m, strict=True)) for m in scanner.find(t)] if t else [])
 
-    return docs.withColumn("matches", find(tone_normal(F.col(text))))
+def edit_distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left = row
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(left[j] + 1, row[-1] + 1, left[j - 1] + (x != y)))
+    return row[-1]
 
 
-#: The worker's last scanner by the broadcast it was built of, kept beside it so that no later one takes its id.
-_SCANNERS: dict[int, tuple[object, Scanner]] = {}
+def indel_ratio(a: str, b: str) -> float:
+    """2 * LCS / (len a + len b): similarity under insertions and deletions only."""
+    if not a and not b:
+        return 1.0
+    place: dict[str, int] = {}
+    for j, c in enumerate(b):
+        place[c] = place.get(c, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    rest = full
+    for c in a:
+        hit = rest & place.get(c, 0)
+        rest = (rest + hit | rest - hit) & full
+    return 2.0 * (len(b) - rest.bit_count()) / (len(a) + len(b))
+
+
+def disjoint(found: list[tuple]) -> list[tuple]:
+    """``resolve_overlaps`` of a list of matches: chosen spans stay sorted, so each candidate meets its two neighbours only."""
+    starts: list[int] = []
+    kept: list[tuple] = []
+    for m in sorted(found, key=lambda m: (m[5] != "exact", m[3] - m[4], -m[6], m[3], m[1])):
+        at = bisect.bisect_right(starts, m[3])
+        if (at and kept[at - 1][4] > m[3]) or (at < len(kept) and kept[at][3] < m[4]):
+            continue
+        starts.insert(at, m[3])
+        kept.insert(at, m)
+    return kept
 
 
-def _scanner(shared) -> Scanner:
-    key = id(shared)
-    if key not in _SCANNERS:
-        _SCANNERS.clear()
-        _SCANNERS[key] = shared, Scanner(shared.value)
-    return _SCANNERS[key][1]
+def search(docs: DataFrame, text: str, forms: DataFrame, fuzzy: bool = False, threshold: float = 85.0, exclusions: tuple[str, ...] = (), resolve: bool = True) -> DataFrame:
+    """``docs`` with ``matches``: the exact matches of every text, with ``fuzzy`` the near misses, too, disjoint spans by position.
+
+    Exact matches are looked for with tone marks brought to one place on both sides; their positions are those of the
+    tone-normalised text, which has as many characters as the text itself.  Near misses are looked for in the text as it is.
+    Null and empty texts have an empty list.  Without ``resolve`` overlapping matches stay.
+    """
+    spark = docs.sparkSession
+    blocks: list[list[tuple]] = [[]]
+    for r in forms.select(tone_normal(F.col("form")).alias("form"), "canonical", "category").orderBy("form", "canonical").toLocalIterator():
+        if len(blocks[-1]) == MAX_FORMS:
+            blocks.append([])
+        blocks[-1].append(tuple(r))
+    columns = []
+    for block in blocks:
+        # One block at a time: a dictionary of any size is searched whole.
+        columns.append(_search_udf(spark.sparkContext.broadcast(block), fuzzy, threshold, tuple(exclusions), resolve and len(blocks) == 1)(tone_normal(F.col(text)), F.col(text) if fuzzy else F.lit("")))
+    if len(blocks) == 1:
+        return docs.withColumn("matches", columns[0])
+    found = docs.withColumn("matches", F.concat(*columns))
+    return found.withColumn("matches", resolve_overlaps(F.col("matches"))) if resolve else found
+
+
+def exact_matches(docs: DataFrame, text: str, forms: DataFrame) -> DataFrame:
+    """``docs`` with ``matches``: all exact matches of every text, overlapping ones, too; see ``search``."""
+    return search(docs, text, forms, resolve=False)
+
+
+_FIELDS = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32()]
+_NAMES = [x.split(":")[0] for x in MATCH[7:-1].split(",")]
+#: The worker's last searchers by what they were built of.
+_SEARCHERS: dict[tuple, tuple[Scanner, NearMisses | None]] = {}
+
+
+def _searcher(block: list[tuple], fuzzy: bool, threshold: float, exclusions: tuple[str, ...]) -> tuple[Scanner, NearMisses | None]:
+    key = (hashlib.sha256(repr(block).encode()).digest(), fuzzy, threshold, exclusions)
+    if key not in _SEARCHERS:
+        if len(_SEARCHERS) > 3:
+            _SEARCHERS.clear()
+        scanner = Scanner(block)
+        _SEARCHERS[key] = scanner, NearMisses(scanner.forms, threshold, frozenset(exclusions)) if fuzzy else None
+    return _SEARCHERS[key]
+
+
+def _search_udf(shared, fuzzy: bool, threshold: float, exclusions: tuple[str, ...], resolve: bool):
+    @F.arrow_udf(f"array<{MATCH}>")
+    def find(normal: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        scanner, near = _searcher(shared.value, fuzzy, threshold, exclusions)
+        for texts, raw in normal:
+            low = [(t or "").lower() for t in raw.to_pylist()] if near else []
+            if near:
+                near.learn(low)
+            bounds, rows = [0], []
+            for k, t in enumerate(texts.to_pylist()):
+                found = scanner.find(t) if t else []
+                if near and low[k]:
+                    found += near.find(low[k], scanner.forms)
+                if resolve and len(found) > 1:
+                    found = disjoint(found)
+                rows += found
+                bounds.append(len(rows))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * len(_FIELDS)
+            values = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, _FIELDS, strict=True)], names=_NAMES)
+            yield pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
+
+    return find
 
 
 def resolve_overlaps(matches: Column) -> Column:
@@ -169,8 +377,8 @@ def tokens(text: Column) -> Column:
     return F.filter(out, lambda x: x["tok"] != "")
 
 
-def ngrams(t: Column, sizes: list[int], only: list[str] | None = None) -> Column:
-    """``ARRAY<STRUCT<n, gram>>`` of a column of tokens: runs that no clause end parts, of the words in ``only`` if given.
+def ngrams(t: Column, sizes: list[int]) -> Column:
+    """``ARRAY<STRUCT<n, gram>>`` of a column of tokens: runs that no clause end parts.
 
     ``t`` should be a column, not an expression, since every run refers to it.
     """
@@ -178,124 +386,16 @@ def ngrams(t: Column, sizes: list[int], only: list[str] | None = None) -> Column
     def of_size(n: int) -> Column:
         starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
         whole = F.filter(starts, lambda i: ~F.exists(F.slice(t, i, n - 1), lambda x: x["brk"])) if n > 1 else starts
-        if only is not None:
-            whole = F.filter(whole, lambda i: F.forall(F.slice(t, i, n), lambda x: x["near"]))
         return F.transform(whole, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.transform(F.slice(t, i, n), lambda x: x["tok"]), " ").alias("gram")))
 
     parts = [of_size(n) for n in sizes]
     return F.concat(*parts)
 
 
-def gram_counts(docs: DataFrame, key: str, text: str, sizes: list[int], only: list[str] | None = None) -> DataFrame:
-    """``(key, n, gram, times)``: the n-grams of every document, counted before anything is joined."""
-    listed = docs.select(key, tokens(F.col(text)).alias("__t"))
-    if only is not None:
-        listed = listed.select(key, F.transform("__t", lambda x: F.struct(x["tok"].alias("tok"), x["brk"].alias("brk"), x["tok"].isin(*only).alias("near"))).alias("__t"))
-    t = listed.select(key, F.explode(ngrams(F.col("__t"), sizes, only)).alias("g"))
-    return t.select(key, "g.n", "g.gram").groupBy(key, "n", "gram").agg(F.count(F.lit(1)).alias("times"))
-
-
-#: Near words up to this number are used to thin out the n-grams; beyond it all n-grams are built.
-MAX_NEAR = 5_000
-
-
-def near_words(docs: DataFrame, text: str, forms: DataFrame) -> list[str] | None:
-    """The documents' words that resemble a word of some form (similarity of .75 or equal): only they can be part of a near miss.
-
-    Found on distinct words.  None where there are more than MAX_NEAR; the result of the search is the same without.
-    """
-    t = docs.select(tokens(F.col(text)).alias("t"))
-    seen = t.select(F.explode(F.transform("t", lambda x: x["tok"])).alias("w")).distinct().withColumn("lw", F.length("w"))
-    wanted = forms.select(F.explode(F.split(tone_normal(F.col("form")), " ")).alias("k")).where("k <> ''").distinct().withColumn("lk", F.length("k"))
-    room = F.floor(0.25 * (F.col("lw") + F.col("lk")) + 1e-9).cast("int")
-    pairs = seen.join(wanted, F.abs(F.col("lw") - F.col("lk")) <= room).where((F.col("w") == F.col("k")) | (F.levenshtein("w", "k") <= room))
-    found = [r["w"] for r in pairs.select("w").distinct().limit(MAX_NEAR + 1).collect()]
-    return sorted(found) if len(found) <= MAX_NEAR else None
-
-
-def indel_ratio(a: str, b: str) -> float:
-    """2 * LCS / (len a + len b): similarity under insertions and deletions only."""
-    if not a and not b:
-        return 1.0
-    row = np.zeros(len(b) + 1, np.int32)
-    bb = np.frombuffer(b.encode("utf-32-le"), np.uint32)
-    for ch in a:
-        new = row.copy()
-        same = bb == ord(ch)
-        new[1:] = np.where(same, row[:-1] + 1, row[1:])
-        row = np.maximum.accumulate(new)
-    return 2.0 * int(row[-1]) / (len(a) + len(b))
-
-
-def _words_agree(gram: str, form: str) -> bool:
-    """The guard for phrases: short words need equal length and .85, longer ones similar length and .75."""
-    for w, k in zip(gram.split(), form.split(), strict=False):
-        if w == k:
-            continue
-        low, high = sorted((len(w), len(k)))
-        if low <= 3:
-            if low != high or indel_ratio(w, k) < 0.85:
-                return False
-        elif low / high <= 0.65 or indel_ratio(w, k) < 0.75:
-            return False
-    return True
-
-
-def letter_mask(c: Column) -> Column:
-    """The letters of a string as bits of a long (some share one): missing bits bound missing letters from below."""
-    return F.aggregate(F.split(c, ""), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(x) % 61)))
-
-
-@F.pandas_udf(T.DoubleType())
-def _similarity(gram: pd.Series, form: pd.Series) -> pd.Series:
-    """Similarity in per cent, or 0 where the words of a phrase don't agree one by one."""
-    return pd.Series([100 * indel_ratio(g, f) if " " not in f or _words_agree(g, f) else 0.0 for g, f in zip(gram, form, strict=True)], dtype=float)
-
-
-def fuzzy_pairs(grams: DataFrame, forms: DataFrame, threshold: float = 85.0, exclusions: tuple[str, ...] = ()) -> DataFrame:
-    """``(gram, form, canonical, category, similarity, levenshtein_distance)`` for distinct n-grams near a form.
-
-    ``grams`` has (n, gram).  Joined on the word count and the pair's length class (lengths within the band share
-    one of two neighbouring classes), filtered by length, common words and edit distance in code generation, then
-    by the exact similarity.
-    """
-    f = forms.select(tone_normal(F.col("form")).alias("form"), "canonical", "category").where(F.length("form") >= 6)
-    f = f.withColumn("n", F.size(F.split("form", " "))).withColumn("lf", F.length("form"))
-    g = grams.select("n", "gram").distinct().withColumn("lg", F.length("gram")).where(~F.col("gram").isin(*COMMON_WORDS, *exclusions))
-    # Lengths within a factor of 1.4 fall into the same or neighbouring classes of width ln 1.5.
-    step = 0.405465
-    g = g.withColumn("cls", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.ln("lg") / step).cast("int") + d)))
-    f = f.withColumn("cls", F.floor(F.ln("lf") / step).cast("int"))
-    g, f = g.withColumn("mg", letter_mask(F.col("gram"))), f.withColumn("mf", letter_mask(F.col("form")))
-    edits = F.floor(F.col("lf") * (1 - threshold / 100) + 0.5).cast("int") + 1
-    # The similarity leaves room for so many insertions and deletions, hence for as many edits and missing letters.
-    room = F.floor((1 - threshold / 100) * (F.col("lg") + F.col("lf")) + 1e-9).cast("int")
-    missing = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(F.col(b))))
-    near = g.join(f, ["n", "cls"]).where(
-        (F.abs(F.col("lg") - F.col("lf")) <= F.least(edits, room)) & (F.col("lf") >= F.floor(F.col("lg") * 0.73)) & (F.col("lf") <= F.floor(F.col("lg") * 1.37) + 1)
-        & (missing("mf", "mg") <= F.least(edits, room)) & (missing("mg", "mf") <= room) & (F.col("gram") != F.col("form"))
-    )
-    distance = F.call_function("levenshtein", F.col("gram"), F.col("form"))
-    near = near.withColumn("levenshtein_distance", distance).where(F.col("levenshtein_distance") <= room)
-    single = (F.col("n") > 1) | (
-        ((F.col("lf") > 8) | (F.abs(F.col("lg") - F.col("lf")) <= 1)) & ((F.col("lf") > 7) | (F.col("levenshtein_distance") <= 1)) & ((F.col("lf") > 10) | (F.col("levenshtein_distance") <= 2))
-    )
-    # The indel distance is never below the edit distance: a cheap upper bound of the similarity.
-    bound = 100 * (1 - F.col("levenshtein_distance") / (F.col("lg") + F.col("lf"))) >= threshold
-    out = near.where(single & bound).withColumn("similarity", _similarity("gram", "form"))
-    return out.where((F.col("similarity") >= threshold) & (F.col("similarity") < 100)).select("gram", "form", "canonical", "category", "similarity", "levenshtein_distance")
-
-
-def fuzzy_matches(docs: DataFrame, key: str, text: str, forms: DataFrame, threshold: float = 85.0, sizes: list[int] | None = None) -> DataFrame:
-    """``(key, gram, canonical, category, similarity, levenshtein_distance, times)``: near misses of the forms in every document.
-
-    Without ``sizes`` n-grams of every word count that occurs among the forms are built.
-    """
-    if sizes is None:
-        # Bounded by the longest form's words.
-        sizes = sorted(r["n"] for r in forms.where(F.length("form") >= 6).select(F.size(F.split("form", " ")).alias("n")).distinct().collect())
-    if not sizes:
-        sizes = [1]  # no form is long enough: nothing is found
-    counted = gram_counts(docs, key, text, sizes, near_words(docs, text, forms))
-    pairs = fuzzy_pairs(counted.select("n", "gram"), forms, threshold)
-    return counted.join(pairs, "gram").select(key, "gram", "canonical", "category", F.round("similarity", 4).alias("similarity"), "levenshtein_distance", "times")
+def fuzzy_matches(docs: DataFrame, key: str, text: str, forms: DataFrame, threshold: float = 85.0, exclusions: tuple[str, ...] = ()) -> DataFrame:
+    """``(key, gram, canonical, category, similarity, levenshtein_distance, times)``: near misses in every document that overlap no better match."""
+    m = search(docs.select(key, F.col(text).alias("text")), "text", forms, True, threshold, exclusions).select(key, F.explode("matches").alias("m")).where("m.match_type = 'fuzzy'")
+    return (
+        m.select(key, F.col("m.keyword_found").alias("gram"), F.col("m.keyword_canonical").alias("canonical"), "m.category", "m.similarity", "m.levenshtein_distance")
+        .groupBy(key, "gram", "canonical", "category", "similarity", "levenshtein_distance").agg(F.count(F.lit(1)).alias("times"))
+    )

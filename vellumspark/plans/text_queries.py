@@ -34,8 +34,7 @@ def _forms(spark: SparkSession, d: str, variants: bool = True) -> DataFrame:
 
 
 def _matched(spark: SparkSession, d: str, variants: bool = True) -> DataFrame:
-    docs = matching.exact_matches(_passages(spark, d), "text", _forms(spark, d, variants))
-    return docs.withColumn("matches", matching.resolve_overlaps(F.col("matches")))
+    return matching.search(_passages(spark, d), "text", _forms(spark, d, variants))
 
 
 def keyword_panel(spark: SparkSession, d: str, variants: bool = True) -> DataFrame:
@@ -86,6 +85,12 @@ def fuzzy_keywords(spark: SparkSession, d: str) -> DataFrame:
     return matching.fuzzy_matches(docs, "doc_id", "text", _forms(spark, d))
 
 
+def search_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Exact matches and near misses of the whole dictionary together, with positions, overlaps resolved."""
+    m = matching.search(_passages(spark, d), "text", _forms(spark, d), fuzzy=True).select("doc_id", F.explode("matches").alias("m"))
+    return m.select("doc_id", "m.keyword_found", "m.keyword_canonical", "m.category", "m.position", "m.end_position", "m.match_type", "m.similarity", "m.levenshtein_distance")
+
+
 def sentence_counts(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).where("text is not null").select("doc_id", F.size(contexts.sentences(F.col("text"))).alias("n_sentences"))
 
@@ -145,7 +150,7 @@ WITH_SQL = {
     "match_summary": match_summary, "build_variables": variables, "rule_labels": rule_labels, "dictionary_forms": dictionary_forms,
 }
 QUERIES = {name: partial(query, variants=False) for name, query in WITH_SQL.items()} | {f"{name}_all_forms": query for name, query in WITH_SQL.items()} | {
-    "match_spans": match_spans, "match_contexts": match_contexts, "char_snippets": char_snippets, "fuzzy_keywords": fuzzy_keywords, "sentence_counts": sentence_counts,
+    "match_spans": match_spans, "match_contexts": match_contexts, "char_snippets": char_snippets, "fuzzy_keywords": fuzzy_keywords, "search_spans": search_spans, "sentence_counts": sentence_counts,
     "word_counts": word_counts, "strip_accents": plain_letters, "tone_places": tone_places, "parse_filename": file_names,
     "dictionary_stats": dictionary_stats, "dictionary_merge": dictionary_merge, "fingerprint_groups": fingerprint_groups,
 }
