@@ -6,6 +6,7 @@ name and SQL expression over base items; they are evaluated in two projections,
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -308,3 +309,76 @@ def item_group(code: Column) -> Column:
             hit = hit | F.contains(code, F.lit(p))
         out = F.when(F.startswith(code, F.lit(prefix)) & hit, F.lit(name)).otherwise(out)
     return out
+
+
+def latest_facts(facts: DataFrame, order: Column) -> DataFrame:
+    """(ticker, year, item_code, value): one value each, the non-null one that comes last by ``order``."""
+    return facts.where(F.col("value").isNotNull()).groupBy("ticker", "year", "item_code").agg(F.max_by("value", order).alias("value"))
+
+
+def balance_repair(wide: DataFrame, assets: str, debt: str, equity: str) -> DataFrame:
+    """Total assets of zero become debt and equity together, where one of them is known."""
+    both = F.coalesce(F.col(debt), F.lit(0.0)) + F.coalesce(F.col(equity), F.lit(0.0))
+    empty = F.coalesce(F.col(assets), F.lit(0.0)) == 0
+    return wide.withColumn(assets, F.when(empty & (both != 0), both).otherwise(F.col(assets)))
+
+
+def master_items(facts: DataFrame, items: DataFrame) -> DataFrame:
+    """(statement_order, item_order, item_code, n): every code that occurs, in the catalog's order; unknown ones come last by their code."""
+    seen = facts.groupBy("item_code").agg(F.count("value").alias("n"))
+    last = F.lit(2**31 - 1)
+    return seen.join(items, "item_code", "left").select(F.coalesce("statement_order", last).alias("statement_order"), F.coalesce("item_order", last).alias("item_order"), "item_code", "n").orderBy("statement_order", "item_order", "item_code")
+
+
+def with_base(metrics: DataFrame, base: DataFrame, items: list[str]) -> DataFrame:
+    """Metrics with the base items that they lack; a metric named like a base item stands for it."""
+    extra = [c for c in items if c not in metrics.columns]
+    return metrics.join(base.select("ticker", "year", *extra), ["ticker", "year"], "left")
+
+
+# The ratios of a provider's panel over its own five variables.
+PROVIDER_RATIOS = {"roa": "net_income / total_assets", "roe": "net_income / total_equity", "size": "ln(total_assets)", "leverage": "total_debt / total_assets", "current_ratio": "total_assets / total_debt"}
+
+
+def provider_panel(facts: DataFrame, tickers: DataFrame, first: int, last: int, codes: dict[str, str]) -> DataFrame:
+    """(ticker, year, five variables, five ratios) for every firm and year of a span; a ratio with a missing or zero part is null."""
+    wide = pivot_facts(facts, list(codes.values())).select("ticker", "year", *[F.col(c).alias(n) for n, c in codes.items()])
+    panel = grid(tickers, first, last).join(wide, ["ticker", "year"], "left")
+
+    def ratio(formula: str) -> Column:
+        if formula.startswith("ln("):
+            c = F.col(formula[3:-1])
+            return F.when(c > 0, F.ln(c))
+        a, b = formula.split(" / ")
+        return safe_div(F.col(a), F.col(b))
+
+    return panel.select("*", *[F.round(ratio(f), 6).alias(n) for n, f in PROVIDER_RATIOS.items()])
+
+
+#: A name is taken for a template's from this share of common characters on.
+NAME_ALIKE = 0.78
+
+
+def match_templates(names: DataFrame, templates: DataFrame) -> DataFrame:
+    """(year, name, item_code, similarity): names equal to a template's of their year, else the most similar one from NAME_ALIKE on.
+
+    Only distinct names without an equal one are compared, with the templates of their year, which are a fixed list of some
+    hundred; ties fall to the first template by name.
+    """
+    from .matching import indel_ratio
+
+    distinct = names.where("name is not null").select("year", "name").distinct()
+    same = distinct.join(templates.select("year", "name", "item_code"), ["year", "name"]).groupBy("year", "name").agg(F.min("item_code").alias("item_code")).withColumn("similarity", F.lit(1.0))
+    listed = templates.groupBy("year").agg(F.array_sort(F.collect_set(F.struct("name", "item_code"))).alias("t"))
+
+    @F.pandas_udf("struct<item_code:string,similarity:double>")
+    def nearest(name: pd.Series, t: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, options in zip(name, t, strict=True):
+            best = max(((indel_ratio(x, o["name"]), -k) for k, o in enumerate(options)), default=(0.0, 0))
+            out.append((options[-best[1]]["item_code"], best[0]) if best[0] >= NAME_ALIKE else (None, None))
+        return pd.DataFrame(out, columns=["item_code", "similarity"])
+
+    rest = distinct.join(same.select("year", "name"), ["year", "name"], "left_anti").join(listed, "year")
+    near = rest.select("year", "name", nearest("name", "t").alias("m")).where("m.item_code is not null")
+    return same.unionByName(near.select("year", "name", "m.item_code", F.round("m.similarity", 4).alias("similarity")))

@@ -110,3 +110,15 @@ def classify_by_rules(docs: DataFrame, key: str, text: str, rules: DataFrame, de
         key, F.when(F.col("n") == 0, F.lit("none")).otherwise(label).alias("label"), top.alias("n_triggers"),
         F.when(top > 0, F.round(F.least(F.lit(1.0), top / 3), 2)).otherwise(F.lit(0.5)).alias("confidence"),
     )
+
+
+def per_category(counts: DataFrame, categories: list[str]) -> DataFrame:
+    """(category, frequency, unique_keywords) of the named categories, those without matches with zeros."""
+    named = counts.sparkSession.createDataFrame([(c,) for c in dict.fromkeys(categories)], "category string")
+    seen = counts.where(F.col("category").isin(*categories)).groupBy("category").agg(F.sum("frequency").alias("frequency"), F.countDistinct("keyword").alias("unique_keywords"))
+    return named.join(F.broadcast(seen), "category", "left").select("category", F.coalesce("frequency", F.lit(0)).alias("frequency"), F.coalesce("unique_keywords", F.lit(0)).alias("unique_keywords"))
+
+
+def top_keywords(counts: DataFrame, n: int) -> DataFrame:
+    """The ``n`` most frequent keywords; ties by name."""
+    return counts.groupBy("keyword").agg(F.sum("frequency").alias("frequency")).orderBy(F.col("frequency").desc(), "keyword").limit(n)

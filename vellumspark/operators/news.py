@@ -205,3 +205,21 @@ def interleave(links: DataFrame) -> DataFrame:
     turned = links.withColumn("turn", F.row_number().over(w))
     first = F.row_number().over(Window.partitionBy("url").orderBy("turn", "source"))
     return turned.withColumn("__n", first).where("__n = 1").drop("__n")
+
+
+def with_duplicates(primary: DataFrame, inherited: list[str]) -> DataFrame:
+    """Every article as a row: the primary ones and, with their measures, the duplicates in ``duplicates`` (an array of structs)."""
+    fields = [f.name for f in primary.schema["duplicates"].dataType.elementType.fields]
+    first = primary.select(*fields, *inherited, F.lit(False).alias("is_duplicate"))
+    return first.unionByName(primary.select(F.explode("duplicates").alias("d"), *inherited).select(*[F.col(f"d.{f}").alias(f) for f in fields], *inherited, F.lit(True).alias("is_duplicate")))
+
+
+def year_or(year: Column, default: int) -> Column:
+    """A year, or the default where none is known."""
+    return F.coalesce(year.try_cast("int"), F.lit(default))
+
+
+def brand_order(brands: Column) -> Column:
+    """Distinct brand tokens, the longest first, ties by name."""
+    keyed = F.transform(F.array_distinct(brands), lambda b: F.struct((-F.length(b)).alias("l"), b.alias("b")))
+    return F.transform(F.array_sort(keyed), lambda x: x["b"])

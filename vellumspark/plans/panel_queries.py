@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +41,8 @@ def financial_ratios(spark: SparkSession, d: str) -> DataFrame:
 
 
 def all_ratios(spark: SparkSession, d: str) -> DataFrame:
-    return finance.ratios(finance.base_items(finance.pivot_facts(facts(spark, d), list(ITEMS))))
+    out = finance.ratios(finance.base_items(finance.pivot_facts(facts(spark, d), list(ITEMS))))
+    return out.select("ticker", "year", *[F.round(c, 4).alias(c) for c in out.columns[2:]])
 
 
 def balance_identity(spark: SparkSession, d: str) -> DataFrame:
@@ -224,9 +227,62 @@ def _group_sql(c: str) -> str:
     return "CASE " + " ".join(arms) + " ELSE 'other' END"
 
 
+def _ratios_sql() -> str:
+    """All ratios by plain division: what is no finite number is null, as is what has a null part."""
+    columns = list(ITEMS)
+    items = []
+    for item, patterns in finance.BASE_ITEMS.items():
+        found = list(dict.fromkeys(c for p in patterns if p != "abs" for c in finance.codes_of(p, columns)))
+        c = f"coalesce({', '.join(found)}, NULL)" if found else "CAST(NULL AS DOUBLE)"
+        items.append((f"abs({c})" if patterns[0] == "abs" else c) + f" AS {item}")
+    either = lambda a, b: f"CASE WHEN {a} IS NOT NULL OR {b} IS NOT NULL THEN coalesce({a}, 0) + coalesce({b}, 0) END"
+    derived = {
+        "ar_cust": "coalesce(ar_cust, receivables)", "gross_profit": "coalesce(gross_profit, revenue - cogs)", "eat_parent": "coalesce(eat_parent, eat)",
+    }
+    added = f"{either('st_debt', 'lt_debt')} AS fin_debt, {either('selling_exp', 'admin_exp')} AS sga, curr_assets - curr_liab AS nwc"
+
+    def ratio(formula: str) -> str:
+        if formula.startswith("yoy("):
+            x = formula[4:-1]
+            return f"({x} - lag({x}) OVER t) / abs(lag({x}) OVER t)"
+        return re.sub(r"(\d)D\b", r"\1", re.sub(r"\bz\((\w+)\)", r"coalesce(\1, 0)", formula))
+
+    rows = [f"CAST({ratio(f)} AS DOUBLE) AS {n}" for g in finance.RATIOS.values() for n, f in g.items()]
+    names = [n for g in finance.RATIOS.values() for n in g]
+    return (
+        _WIDE + f", b AS (SELECT ticker, year, {', '.join(items)} FROM w), c AS (SELECT * REPLACE ({', '.join(f'{e} AS {n}' for n, e in derived.items())}), {added} FROM b), "
+        "d AS (SELECT * REPLACE (coalesce(ebit, ebt + coalesce(interest_exp, 0), operating_profit, gross_profit - sga) AS ebit) FROM c), e AS (SELECT * REPLACE (coalesce(ebitda, ebit) AS ebitda) FROM d), "
+        f"r AS (SELECT ticker, year, {', '.join(rows)} FROM e WINDOW t AS (PARTITION BY ticker ORDER BY year)) SELECT ticker, year, {', '.join(f'CASE WHEN isfinite({n}) THEN round({n}, 4) END AS {n}' for n in names)} FROM r"
+    )
+
+
+def _candidates_sql() -> str:
+    """Figures of every headcount pattern, with the year of the pattern's first hit and their score."""
+    arms = []
+    for name, strategy, base, pattern in labor.PATTERNS:
+        wide = "(" + pattern.replace(labor._N, r"(?:\d[\d.,]*)") + ")"
+        arms.append(f"SELECT audit_id, report_year, '{name}' AS pattern, '{strategy}' AS strategy, {base}::DOUBLE AS base, unnest(regexp_extract_all(low, '{pattern}', 1)) AS raw, regexp_extract(regexp_extract(low, '{wide}', 1), '((?:19|20)\\d\\d)', 1) AS y FROM a".replace("\\\\", "\\"))
+    tier = "CASE " + " ".join(f"WHEN strategy = '{s}' THEN {v}::DOUBLE" for s, v in labor.TIER.items()) + " ELSE 0.1::DOUBLE END"
+    return (
+        "WITH a AS (SELECT audit_id, report_year, lower(regexp_replace(raw_text, '\\s+', ' ', 'g')) AS low FROM multi_era_50_results WHERE raw_text IS NOT NULL), c AS (".replace("\\\\", "\\") + " UNION ALL ".join(arms)
+        + "), v AS (SELECT *, CAST(regexp_replace(raw, '[.,]', '', 'g') AS BIGINT) AS value, TRY_CAST(nullif(y, '') AS INT) AS span_year FROM c), k AS (SELECT *, "
+        f"{tier} + CASE WHEN span_year = report_year THEN 0.35::DOUBLE WHEN span_year IS NULL THEN 0.20::DOUBLE ELSE -0.15::DOUBLE END + CASE WHEN strategy = 'group' THEN 0.1::DOUBLE ELSE 0 END + base * 0.2::DOUBLE"
+        " - CASE WHEN (value BETWEEN 2005 AND 2040 OR value IN (31, 30, 29, 28, 12)) AND strategy <> 'breakdown' THEN 0.3::DOUBLE ELSE 0 END AS s, coalesce(span_year = report_year, TRUE) AS matched "
+        f"FROM v WHERE value BETWEEN {labor.LEAST} AND {labor.MOST})\n"
+    )
+
+
 _NEWS = r"""WITH a AS (SELECT doc_id AS article_id, ticker, CAST(year(published_at) AS INT) AS year, text FROM documents WHERE doc_kind = 'news' AND text IS NOT NULL AND ticker IS NOT NULL AND published_at IS NOT NULL)
 """
+_CANDIDATES = _candidates_sql()
 SQL = {
+    "all_ratios": _ratios_sql(),
+    "headcount_candidates": _CANDIDATES + "SELECT audit_id, pattern, value, round(s, 4) AS score FROM k",
+    "headcounts": _CANDIDATES
+    + """, p AS (SELECT audit_id, value, count(*) OVER (PARTITION BY audit_id, value, matched) AS n, matched AND round(s, 4) > 0.4 AS a, round(s, 4) AS score, base, pattern, strategy FROM k),
+t AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY audit_id ORDER BY a DESC, score DESC, base DESC, value, n DESC, pattern DESC, strategy DESC) = 1)
+SELECT audit_id, value AS labor, pattern, strategy, round(least(0.99::DOUBLE, score + CASE WHEN n >= 2 THEN 0.10::DOUBLE ELSE 0 END), 4) AS confidence,
+CASE WHEN round(least(0.99::DOUBLE, score + CASE WHEN n >= 2 THEN 0.10::DOUBLE ELSE 0 END), 4) >= 0.7 THEN 'SUCCESS' WHEN round(least(0.99::DOUBLE, score + CASE WHEN n >= 2 THEN 0.10::DOUBLE ELSE 0 END), 4) >= 0.5 THEN 'AMBIGUOUS' ELSE 'NOT_FOUND' END AS status FROM t""",
     "statement_pivot": _WIDE + "SELECT ticker, year, " + ", ".join(f"round({c}, 2) AS {c}" for c in ITEMS) + " FROM w",
     "financial_ratios": _WIDE + """, b AS (SELECT ticker, year, bs_tong_tai_san AS ta, bs_von_chu_so_huu AS eq, bs_no_phai_tra AS td, bs_tai_san_ngan_han AS ca, bs_no_ngan_han AS cl, bs_tien AS cash,
 coalesce(bs_hang_ton_kho, NULL) AS inv, is_doanh_thu_thuan AS rev, abs(is_gia_von_hang_ban) AS cogs, is_loi_nhuan_sau_thue AS eat, is_tong_loi_nhuan_truoc_thue AS ebt, abs(is_chi_phi_lai_vay) AS ie,

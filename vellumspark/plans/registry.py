@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import general, panel_queries, text_queries
+from . import catalog_queries, general, panel_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (text_queries, panel_queries, general)
+_MODULES = (text_queries, panel_queries, catalog_queries, general)
 FLAGSHIP: Query = text_queries.keyword_panel
 
 
