@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellumspark.functions import text as tx
-from vellumspark.operators import catalog, contexts, dictionary, finance, labor, matching, metrics, news, panel
+from vellumspark.operators import catalog, contexts, dictionary, directory, finance, labor, labor_tables, matching, metrics, news, panel
 from vellumspark.operators.packed import packed_values, split_packed
 from vellumspark.sources import readers, sinks
 from vellumspark.streaming import incremental
@@ -443,3 +443,59 @@ def test_works_without_extra_package(tmp_path):
     out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(sorted(k for k in e.queries() if k[0] == 'p' and k[1].isdigit()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path)})
     assert out.stdout.startswith("['p5_found']"), out.stderr
     assert not [p for p in (root / "vellumspark").rglob("*.py") if "llm" not in p.parts and re.search(r"(?:from|import)\s+\S*\bllm\b", p.read_text())]
+
+
+class TestLaborTables:
+    @pytest.mark.parametrize(
+        ("strategy", "text", "value"),
+        [
+            ("year_columns", "Chỉ tiêu | 2019 | 2020 | 2021\nTổng số lao động 1.200 1.310 1.405 người\nThu nhập 9 10 11", 1310),
+            ("year_run", "2019\n2020\n2021\nSố lượng nhân viên\nngười\n812\n835\n901", 835),
+            ("beside_year", "Số lượng lao động\nNăm 2019: 27 người\nNăm 2020: 31.250 người", 31250),
+            ("whole", "Cơ cấu lao động năm 2020\nĐại học // 300 // 40%\nTổng cộng // 750 // 100%", 750),
+            ("total_row", "Năm 2020\nĐại học 300\nPhổ thông 450\nTổng cộng:\n750", 750),
+            ("note", "Tại ngày 31 tháng 12 năm 2021, Tập đoàn có 5.806 nhân viên (1/1/2021: 6.191 nhân viên).", 6191),
+            ("plan_actual", "2020\nTổng số lao động\nngười\n10.211 (KH)\n10.095 (TH)\n98,9%", 10095),
+            ("callout", "2020\n64.727 nhân viên\nTỔNG SỐ NHÂN VIÊN THEO CHUỖI", 64727),
+        ],
+    )
+    def test_strategies(self, strategy, text, value):
+        page = labor_tables.Page(text)
+        found = [f for s in labor_tables.STRATEGIES if s.__name__ == strategy for f in s(page, 2020)]
+        assert value in [f.value for f in found if f.matched], found
+        assert not any(list(s(labor_tables.Page(x), 2020)) for s in labor_tables.STRATEGIES for x in ("", "Doanh thu 2020 đạt 1.234 tỷ đồng", "Tổng cộng\n1.500"))
+
+    def test_frame(self, spark):
+        note = "Tại ngày 31/12/2020 là 47 người (31/12/2019: 50 người)"
+        df = spark.createDataFrame([("a", 1, 2020, note), ("a", 1, 2020, note), ("b", 2, 2020, None), ("c", 3, None, note), ("d", 4, 2020, ""), ("e", 5, 2020, "Lao động nữ tại 31/12/2020 là 40 người, tỷ lệ 40%"), ("f", 6, 2020, "x " * 100_000 + note)], "k string, strategy int, y int, t string")
+        rows = labor_tables.candidates(df, ["k"], "t", "y").collect()
+        assert sorted((r.k, r.value, r.matched) for r in rows) == sorted([("a", 47, True), ("a", 50, False)] * 2 + [("f", 47, True), ("f", 50, False)])
+        assert labor_tables.candidates(df.limit(0), ["k"], "t", "y").count() == 0
+
+    def test_pages(self, spark):
+        df = spark.createDataFrame([(1, 1, "Tổng số lao"), (1, 2, "động năm 2020"), (2, 1, "khác")], "d int, p int, t string")
+        assert [r.context for r in labor_tables.with_tails(df, ["d"], "p", "t").orderBy("d", "p").collect()] == ["Tổng số lao động năm 2020", "Tổng số lao động năm 2020", "khác"]
+        assert one(spark, "Tổng số lao động 31/12/2020: 9 người", labor_tables.page_score(F.col("x"), F.lit(2020))) == 65 and one(spark, "x", labor_tables.page_score(F.col("x"), F.lit(2020))) == 0
+
+
+class TestDirectory:
+    def test_edges(self, spark):
+        local = lambda x, q: one(spark, x, directory.local_predicate(F.col("x"), q))
+        assert local("ABCD", "BC") and local("ABCD", "XYZ, BC") and not local("ABCD", "XYZ, BCD") and local("ABCD", "XYZ, ABCD") and local("ABCD", None)
+        df = spark.createDataFrame([(1, 2, 3)], "Company_Name int, b int, c int")
+        assert directory.without(df, ["COMPANY_NAME"]).columns == ["b", "c"] and directory.company_info(df).columns == ["Company_Name", "b"]
+        firms = spark.createDataFrame([("A", None, "s"), ("A", None, "s"), ("B", "HOSE", "t"), (None, None, None)], "ticker string, exchange_code string, industry string")
+        sectors = spark.createDataFrame([("1010", "X", "s"), ("1020", "X", "t"), ("2010", "Y", "u")], "icb_code string, icb_l1 string, sector_name string")
+        nodes = {(r.level, r.icb_l1, r.icb_l4): r.n for r in directory.tree(firms, sectors, F.lit(1)).collect()}
+        assert nodes[1, "X", None] == 2 and nodes[4, "Y", "u"] == 0 and nodes[1, "Y", None] == 0
+        assert directory.tree(firms.limit(0), sectors, F.lit(1)).where("n > 0").count() == 0
+        places = {r.icb_l1: r.place for r in directory.in_order(directory.tree(firms, sectors, F.lit(1))).where("level = 1").collect()}
+        assert places == {"X": 1, "Y": 2}
+
+    def test_templates(self, spark):
+        names = spark.createDataFrame([(2020, "tổng tài sản"), (2020, "tổng tài sảm"), (2020, "khác hẳn"), (2021, "tổng tài sảm"), (2020, None)], "year int, name string")
+        templates = spark.createDataFrame([(2020, "tổng tài sản", "bs1"), (2020, "tổng nợ", "bs2")], "year int, name string, item_code string")
+        assert sorted((r.name, r.item_code) for r in finance.match_templates(names, templates).collect()) == [("tổng tài sảm", "bs1"), ("tổng tài sản", "bs1")]
+
+    def test_brands(self, spark):
+        assert one(spark, "x", news.brand_order(F.array(F.lit("ab"), F.lit("abc"), F.lit("aa"), F.lit("ab")))) == ["abc", "aa", "ab"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import catalog, finance, labor, news, panel
+from ..operators import catalog, finance, labor, labor_tables, news, panel
 from ..session import spread, table
 
 # The statement items that the order lines stand for in the financial queries.
@@ -201,6 +201,19 @@ def headcounts(spark: SparkSession, d: str) -> DataFrame:
     return labor.best(labor.scored(labor.candidates(a, ["audit_id", "report_year"], "raw_text"), "report_year"), ["audit_id"])
 
 
+def headcount_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Headcounts of tables, notes and callouts in both audits, the best by value for each record."""
+    both = spread(table(spark, d, "multi_era_50_results")).select(F.lit("multi").alias("audit"), F.col("audit_id").alias("record_id"), "report_year", F.col("raw_text").alias("text")).unionAll(
+        spread(table(spark, d, "labor_audit_50_results")).select(F.lit("labor"), F.col("row_index"), "report_year", F.col("snippet"))
+    )
+    found = labor_tables.candidates(both, ["audit", "record_id"], "text", "report_year")
+    return found.groupBy("audit", "record_id", "value").agg(F.max("score").alias("score"), F.array_sort(F.collect_set("strategy")).alias("strategies"))
+
+
+def headcount_pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "multi_era_50_results").where("raw_text is not null").select("audit_id", labor_tables.page_score(F.col("raw_text"), F.col("report_year")).alias("score")).where(F.col("score") >= labor_tables.PAGE_LEAST)
+
+
 def headcount_numbers(spark: SparkSession, d: str) -> DataFrame:
     """Figures of the headcount tables' cells (between the double slashes)."""
     a = table(spark, d, "labor_audit_50_results").where("snippet like '%//%'")
@@ -214,7 +227,7 @@ QUERIES = {
     "coverage_share": coverage_share, "year_dummies": year_dummies, "reconcile_years": reconcile_years, "first_records": first_records, "catalog_search": catalog_search, "catalog_page": catalog_page,
     "industry_tree": industry_tree, "ticker_years": ticker_years, "record_supplement": record_supplement, "archive_names": archive_names, "news_clusters": news_clusters, "news_panel": news_panel,
     "news_gap_filled": news_gap_filled, "company_mentions": company_mentions, "shingle_overlap": shingle_overlap, "article_years": article_years, "headcount_candidates": headcount_candidates,
-    "headcounts": headcounts, "headcount_numbers": headcount_numbers,
+    "headcounts": headcounts, "headcount_numbers": headcount_numbers, "headcount_tables": headcount_tables, "headcount_pages": headcount_pages,
 }
 
 _WIDE = "WITH w AS (SELECT 'S' || l_suppkey AS ticker, CAST(year(o_orderdate) AS INT) AS year, " + ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in ITEMS.items()) + " FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)\n"
@@ -275,7 +288,11 @@ def _candidates_sql() -> str:
 _NEWS = r"""WITH a AS (SELECT doc_id AS article_id, ticker, CAST(year(published_at) AS INT) AS year, text FROM documents WHERE doc_kind = 'news' AND text IS NOT NULL AND ticker IS NOT NULL AND published_at IS NOT NULL)
 """
 _CANDIDATES = _candidates_sql()
+_UNITS = "(" + " OR ".join(f"contains(low, '{w}')" for w in labor_tables.UNITS) + ")"
 SQL = {
+    "headcount_pages": "WITH a AS (SELECT audit_id, CAST(report_year AS VARCHAR) AS y, lower(raw_text) AS low FROM multi_era_50_results WHERE raw_text IS NOT NULL), p AS (SELECT audit_id, CAST("
+    + " + ".join(f"15 * CAST(contains(low, '{w}') AS INT)" for w in labor_tables.LABELS)
+    + f" + CASE WHEN {_UNITS} THEN 10 ELSE 0 END + CASE WHEN contains(low, '31/12/' || y) OR contains(low, '31 tháng 12 năm ' || y) THEN 25 WHEN contains(low, y) THEN 5 ELSE 0 END AS INT) AS score FROM a) SELECT * FROM p WHERE score >= 10",
     "all_ratios": _ratios_sql(),
     "headcount_candidates": _CANDIDATES + "SELECT audit_id, pattern, value, round(s, 4) AS score FROM k",
     "headcounts": _CANDIDATES
