@@ -278,11 +278,16 @@ def grid(tickers: DataFrame, first: int, last: int) -> DataFrame:
     return tickers.select("ticker").distinct().select("ticker", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("year"))
 
 
-def upsert_facts(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Facts with the rows of updating tickers replaced, one row per (ticker, year, item_code)."""
+def upsert_facts(old: DataFrame, new: DataFrame, order: Column | None = None) -> DataFrame:
+    """Facts with the rows of updating tickers replaced: of each (ticker, year, item_code) the first row by ``order``.
+
+    Without an order of arrival the least value counts as the first, so that the result depends on no partitioning.
+    """
     keys = ["ticker", "year", "item_code"]
+    order = F.col("value") if order is None else order
     kept = old.join(new.select("ticker").distinct(), "ticker", "left_anti")
-    return kept.unionByName(new.groupBy(*keys).agg(F.min("value").alias("value")), allowMissingColumns=True).dropDuplicates(keys)
+    rows = kept.unionByName(new, allowMissingColumns=True)
+    return rows.groupBy(*keys).agg(F.min_by("value", order).alias("value"))
 
 
 def identity_check(wide: DataFrame, assets: str, resources: str, debt: str, equity: str) -> DataFrame:

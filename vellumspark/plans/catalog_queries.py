@@ -110,7 +110,7 @@ def latest_facts(spark: SparkSession, d: str) -> DataFrame:
     f = panel_queries.facts(spark, d)
     again = f.where("item_code = 'bs_tien'").withColumn("value", F.col("value") * 2)
     both = f.withColumn("at", F.lit(1)).unionByName(again.withColumn("at", F.lit(2)))
-    return finance.latest_facts(both, F.col("at")).select("ticker", "year", "item_code", F.round("value", 4).alias("value"))
+    return finance.latest_facts(both, F.col("at")).groupBy("year", "item_code").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 0).alias("total"))
 
 
 def balance_repair(spark: SparkSession, d: str) -> DataFrame:
@@ -206,7 +206,7 @@ SELECT ticker, list_sort(list(DISTINCT y)) AS years FROM p WHERE ticker IS NOT N
     "gap_targets": f"WITH {_FIRMS} SELECT DISTINCT ticker, report_year, CAST(CASE {_EXCHANGE} WHEN 'HSX' THEN 1 WHEN 'HNX' THEN 2 WHEN 'UPCOM' THEN 3 ELSE 4 END AS INT) AS exchange_rank FROM f WHERE ocr_status = 'error'",
     "indexed_files": "SELECT ticker, report_year, min(report_id) AS report_id FROM reports WHERE ticker IS NOT NULL AND report_year IS NOT NULL AND total_words >= 10000 GROUP BY 1, 2",
     "repeated_next_year": "WITH k AS (SELECT DISTINCT ticker, report_year, strategy FROM labor_audit_50_results WHERE snippet <> '' AND ticker IS NOT NULL AND report_year IS NOT NULL AND strategy IS NOT NULL) SELECT DISTINCT a.ticker, a.report_year, CAST(a.report_year + 1 AS INT) AS next_year FROM k a JOIN k b ON a.ticker = b.ticker AND a.strategy = b.strategy AND b.report_year = a.report_year + 1",
-    "latest_facts": _WIDE + f"SELECT ticker, year, item_code, round(CASE WHEN item_code = 'bs_tien' THEN value * 2 ELSE value END, 4) AS value FROM {FACTS} WHERE value IS NOT NULL",
+    "latest_facts": _WIDE + f"SELECT year, item_code, count(*) AS n, round(sum(CASE WHEN item_code = 'bs_tien' THEN value * 2 ELSE value END), 0) AS total FROM {FACTS} WHERE value IS NOT NULL GROUP BY 1, 2",
     "balance_repair": _WIDE + "SELECT ticker, year, round(CASE WHEN year % 2 = 0 THEN bs_tong_tai_san ELSE coalesce(bs_no_phai_tra, 0) + coalesce(bs_von_chu_so_huu, 0) END, 2) AS total_assets FROM w",
     "master_items": _WIDE + "SELECT " + "CAST(CASE " + " ".join(f"WHEN item_code = '{c}' THEN {1 if c.startswith('bs_') else 2}" for c in ITEMS if not c.startswith("cf_")) + " ELSE 2147483647 END AS INT) AS statement_order, CAST(CASE "
     + " ".join(f"WHEN item_code = '{c}' THEN {k}" for k, c in enumerate(ITEMS) if not c.startswith("cf_")) + f" ELSE 2147483647 END AS INT) AS item_order, item_code, count(value) AS n FROM {FACTS} GROUP BY item_code",

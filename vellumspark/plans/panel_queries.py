@@ -162,7 +162,10 @@ def news_clusters(spark: SparkSession, d: str) -> DataFrame:
 def news_panel(spark: SparkSession, d: str) -> DataFrame:
     a = _articles(spark, d).where("ticker is not null and year is not null")
     hits = F.regexp_count(F.lower("text"), F.lit(r"(?<![\p{L}\p{N}_])(?:rủi ro|risk)(?![\p{L}\p{N}_])"))
-    return news.firm_year(a, hits, F.lit(1))
+    # How often a text was printed; counted by hash before it is joined.
+    a = a.withColumn("h", F.md5("text"))
+    printed = a.groupBy("h").agg(F.count(F.lit(1)).alias("reprints"))
+    return news.firm_year(a.join(printed, "h"), hits, F.col("reprints"))
 
 
 def news_gap_filled(spark: SparkSession, d: str) -> DataFrame:
@@ -188,7 +191,7 @@ def shingle_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 def article_years(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("text is not null")
-    return docs.select("doc_id", tx.article_year(F.lit(None).cast("string"), F.col("source"), F.col("text")).alias("year"))
+    return docs.select("doc_id", tx.article_year(F.col("published_at").cast("date").cast("string"), F.col("source"), F.col("text")).alias("year"))
 
 
 def headcount_candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -313,9 +316,9 @@ round(CASE WHEN ta > 0 THEN ln(ta) END, 4) AS size_ln, round(inv * 365 / nullif(
     "alias_lookup": _WIDE + "SELECT ticker, year, round(coalesce(CASE WHEN bs_hang_ton_kho >= 2000000 THEN bs_hang_ton_kho END, bs_tien), 2) AS stock FROM w WHERE coalesce(CASE WHEN bs_hang_ton_kho >= 2000000 THEN bs_hang_ton_kho END, bs_tien) IS NOT NULL",
     "firm_grid": _WIDE + "SELECT 'S' || s_suppkey AS ticker, CAST(y AS INT) AS year, round(is_doanh_thu_thuan, 2) AS revenue FROM supplier CROSS JOIN range(1994, 2003) r(y) LEFT JOIN w ON w.ticker = 'S' || s_suppkey AND w.year = y",
     "item_groups": _WIDE + "SELECT item_code, count(value) AS n, " + _group_sql("item_code") + " AS accounting_group FROM (SELECT * FROM w UNPIVOT INCLUDE NULLS (value FOR item_code IN (" + ", ".join(ITEMS) + "))) GROUP BY 1",
-    "article_years": r"""WITH y AS (SELECT doc_id, regexp_extract(source, '/((?:19|20)\d\d)/', 1) AS a, regexp_extract(source, '(?:^|\D)((?:19|20)\d\d)(?:\D|$)', 1) AS b, regexp_extract(substring(text, 1, 600), '\d{1,2}[/.-]\d{1,2}[/.-]((?:19|20)\d\d)', 1) AS c,
+    "article_years": r"""WITH y AS (SELECT doc_id, CAST(year(published_at) AS VARCHAR) AS p, regexp_extract(source, '/((?:19|20)\d\d)/', 1) AS a, regexp_extract(source, '(?:^|\D)((?:19|20)\d\d)(?:\D|$)', 1) AS b, regexp_extract(substring(text, 1, 600), '\d{1,2}[/.-]\d{1,2}[/.-]((?:19|20)\d\d)', 1) AS c,
 regexp_extract(substring(text, 1, 300), '(?:^|\D)((?:19|20)\d\d)(?:\D|$)', 1) AS d FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, CAST(coalesce(nullif(a, ''), nullif(b, ''), nullif(c, ''), nullif(d, '')) AS INT) AS year FROM y""",
+SELECT doc_id, CAST(coalesce(p, nullif(a, ''), nullif(b, ''), nullif(c, ''), nullif(d, '')) AS INT) AS year FROM y""",
     "company_mentions": r"""WITH a AS (SELECT doc_id AS article_id, d.ticker, company_name, substring(split_part(text, '.', 1), 1, 200) || ' ' || substring(text, 1, 300) || ' ' || substring(text, 1, 4000) AS body FROM documents d JOIN companies c ON d.ticker = c.ticker WHERE doc_kind = 'news' AND text IS NOT NULL),
 b AS (SELECT *, lower(trim(regexp_replace(regexp_replace(company_name, '(?i)^\s*(?:tổng\s+công\s+ty|công\s+ty|ctcp|ngân\s+hàng|tập\s+đoàn)\s*(?:cổ\s+phần|tnhh|mtv|tm)?\s*(?:mtv)?\s*', ''), '(?i)\s*[-–]\s*(?:ctcp|công\s+ty\s+cổ\s+phần)\s*$|\s*\([^)]*\)\s*$', ''))) AS brand FROM a)
 SELECT article_id, (regexp_matches(body, '(?:^|[^A-Za-z0-9])' || ticker || '(?:[^A-Za-z0-9]|$)') OR coalesce(length(company_name) > 6 AND contains(lower(body), lower(company_name)), false) OR coalesce(length(brand) >= 4 AND contains(lower(body), brand), false)) AS confirmed FROM b""",
@@ -352,9 +355,9 @@ SELECT ticker, report_year, row_index, 'b' FROM labor_audit_50_results b WHERE N
     "archive_names": r"""WITH b AS (SELECT report_id, CAST(report_year AS VARCHAR) AS folder, regexp_extract(replace(pdf_path, '\', '/'), '([^/]*)$', 1) AS base FROM reports WHERE pdf_path IS NOT NULL),
 n AS (SELECT *, row_number() OVER (PARTITION BY folder || '/' || base ORDER BY report_id) AS rn FROM b)
 SELECT report_id, CASE WHEN rn = 1 THEN folder || '/' || base ELSE folder || '/' || regexp_extract(base, '^(.*?)(\.[^.]*)?$', 1) || '_' || (rn - 1) || regexp_extract(base, '(\.[^.]*)$', 1) END AS arcname FROM n""",
-    "news_panel": _NEWS + r""", p AS (SELECT ticker, year, len(list_filter(regexp_split_to_array(text, '[\s\p{Z}]+'), lambda x: x <> '')) AS w,
+    "news_panel": _NEWS + r""", p AS (SELECT ticker, year, count(*) OVER (PARTITION BY md5(text)) AS r, len(list_filter(regexp_split_to_array(text, '[\s\p{Z}]+'), lambda x: x <> '')) AS w,
 len(list_filter(regexp_split_to_array(replace(replace(lower(text), 'rủi ro', '¤rr¤'), '', ''), '[^\p{L}\p{N}_¤]+'), lambda x: x = '¤rr¤' OR x = 'risk')) AS h FROM a)
-SELECT ticker, year, count(*) AS total_articles, count(*) AS total_articles_full, CAST(sum(w) AS BIGINT) AS total_words, CAST(sum(w) AS BIGINT) AS total_words_full, CAST(sum(h) AS BIGINT) AS total_hits, CAST(sum(h) AS BIGINT) AS total_hits_full,
+SELECT ticker, year, count(*) AS total_articles, CAST(sum(r) AS BIGINT) AS total_articles_full, CAST(sum(w) AS BIGINT) AS total_words, CAST(sum(w * r) AS BIGINT) AS total_words_full, CAST(sum(h) AS BIGINT) AS total_hits, CAST(sum(h * r) AS BIGINT) AS total_hits_full,
 count(*) FILTER (h > 0) AS articles_with_hits, round(count(*) FILTER (h > 0) / count(*) * 100, 2) AS hit_ratio_pct, round(sum(h) * 1000.0 / nullif(sum(w), 0), 4) AS density_per_1000, round(ln(1 + sum(h)), 6) AS log_hits FROM p GROUP BY 1, 2""",
     "news_gap_filled": _NEWS + """, c AS (SELECT ticker, year, count(*) AS n FROM a GROUP BY 1, 2), s AS (SELECT ticker, min(year) AS fy FROM a GROUP BY 1)
 SELECT k.ticker, CAST(y AS INT) AS year, coalesce(n, 0) AS total_articles FROM companies k LEFT JOIN s USING (ticker) CROSS JOIN range(2014, 2024) r(y) LEFT JOIN c ON c.ticker = k.ticker AND c.year = y WHERE y >= greatest(coalesce(fy, 2014), 2014)""",

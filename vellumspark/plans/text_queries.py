@@ -117,7 +117,7 @@ def plain_letters(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tone_places(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).where("text is not null").select("doc_id", F.md5(tx.tone_normal(F.col("text"))).alias("h"))
+    return _docs(spark, d).where("text is not null").select("doc_id", F.md5(tx.tone_normal(tx.nfc("text"))).alias("h"))
 
 
 def file_names(spark: SparkSession, d: str) -> DataFrame:
@@ -200,7 +200,7 @@ SELECT doc_id, CASE WHEN n = 0 THEN 'none' WHEN greatest(p, k, a) = 0 THEN 'talk
 CASE WHEN greatest(p, k, a) > 0 THEN round(least(1.0, greatest(p, k, a) / 3), 2) ELSE 0.5 END AS confidence FROM r""",
     "word_counts": f"SELECT doc_id, CAST({_WORDS} AS INT) AS n_words FROM documents WHERE text IS NOT NULL",
     "strip_accents": "SELECT company_id, replace(strip_accents(lower(company_name)), 'đ', 'd') AS plain FROM companies",
-    "tone_places": f"SELECT doc_id, md5({_tone_sql('text')}) AS h FROM documents WHERE text IS NOT NULL",
+    "tone_places": f"SELECT doc_id, md5({_tone_sql('nfc_normalize(text)')}) AS h FROM documents WHERE text IS NOT NULL",
     "dictionary_forms": """SELECT lower(trim(keyword)) AS form, arg_max(keyword, keyword_id) AS canonical, arg_max(category, keyword_id) AS category FROM keywords
 WHERE lower(trim(keyword)) NOT IN ('phân quyền', 'phan quyen', 'phân cấp', 'together') GROUP BY 1""",
     "dictionary_stats": "SELECT category, count(*) AS n_keywords, count(*) FILTER (is_ambiguous) AS n_ambiguous FROM keywords GROUP BY ROLLUP (category)",

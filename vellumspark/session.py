@@ -43,6 +43,9 @@ def scratch_dir(spark: SparkSession) -> str:
         if held.isDefined():
             base = held.get()
         else:  # a single node without the setting: a temporary folder, removed when the process ends
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
             folder = tempfile.mkdtemp(prefix="vellum-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
             base = f"file://{folder}"
@@ -59,6 +62,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark)
     df.write.parquet(path)
+    # Removed when the application ends: results are read from it until then.
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
