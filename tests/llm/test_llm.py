@@ -244,6 +244,15 @@ class TestSurvivors:
         assert len(out) == 4 and out["ABC1", 2020].total_pages == 3
         assert survivors.survivors(self.rows(spark).limit(0), sources).count() == 0
 
+    def test_firm_determines_company(self, spark):
+        at = pd.Timestamp("2021-01-01").to_pydatetime()
+        # the most trusted row of 2019 names a company that the firm's other rows contradict
+        rows = [(1, 9, "ABC1", 2019, None, None, None, None, None, "a", "a", "one", at, "z"), (2, None, "HSX:ABC1", 2019, None, None, None, None, None, "a", "a", "two", at, "z")]
+        rows += [(10 + k, 7, "ABC1", 2010 + k, None, None, None, None, None, "a", "a", "two", at, "z") for k in range(4)]
+        sources = spark.createDataFrame([("one", 1), ("two", 2)], "source string, trust_rank int")
+        out = {(r.firm, r.report_year): (r.ticker, r.company_id) for r in survivors.survivors(spark.createDataFrame(rows, self.COLUMNS), sources).collect()}
+        assert out["ABC1", 2019] == ("ABC1", 7) and len(out) == 5
+
     def test_files_that_differ_in_scanned_only(self, spark):
         at = pd.Timestamp("2021-01-01").to_pydatetime()
         rows = [(1, None, "ABC1", 2019, "ABC1_2019.pdf", None, 80, None, False, "a", "a", "one", at, "z"), (2, None, "ABC1", 2019, "ABC1_2019_BCTN.pdf", None, 81, 9, True, "b", "b", "two", at, "z")]
@@ -274,10 +283,11 @@ class TestSurvivors:
     def test_search_is_exhaustive(self):
         r = random.Random(5)
         for _ in range(200):
-            make = lambda: sorted(({"w": r.random(), "firm_ok": r.random() < 0.7, "year_ok": r.random() < 0.7, "scanned": r.choice([None, True, False])} for _ in range(r.randint(1, 5))), key=lambda x: -x["w"])  # noqa: E731,B023
+            make = lambda: sorted(({"w": r.random(), "firm_ok": r.random() < 0.7, "year_ok": r.random() < 0.7, "company_ok": r.random() < 0.7, "scanned": r.choice([None, True, False])} for _ in range(r.randint(1, 5))), key=lambda x: -x["w"])  # noqa: E731,B023
             a, b, c = make(), make(), make()
+            a_ok = [x for x in a if x["company_ok"]]
             ok = lambda y, z: y["firm_ok"] and y["year_ok"] and (z["scanned"] is None or y["scanned"] is None or z["scanned"] == y["scanned"])
-            best = max((x["w"] + y["w"] + z["w"] for x in a for y in b for z in c if ok(y, z)), default=None)
+            best = max((x["w"] + y["w"] + z["w"] for x in a_ok for y in b for z in c if ok(y, z)), default=None)
             i, j, k = survivors._search(a, b, c)
             assert (best is None and (i, j, k) == (0, 0, 0)) or abs(a[i]["w"] + b[j]["w"] + c[k]["w"] - best) < 1e-9
 
@@ -367,11 +377,13 @@ class TestLeakage:
     def test_blocks(self, spark, monkeypatch, words):
         """Rows of both kinds don't depend on the size of a block."""
         monkeypatch.setattr(leakage, "BLOCK_WORDS", words)
-        made = lambda a, b, c: f"Today the mill of {a} shipped {b} kg of dried figs to the old port while the {c} crew of Dunmoor rested until the ferry came back with {b} kg of salt."
-        items = spark.createDataFrame([(i, made(x, 10 + i, y)) for i, (x, y) in enumerate([("Astra", "Belo"), ("Corvo", "Dena"), ("Esto", "Fino"), ("Gano", "Hilo")])] + [(9, ITEM)], "item_id long, text string")
-        docs = spark.createDataFrame([(1, "Well. " + made("Astra", 10, "Belo")), (2, made("Corvo", 77, "Fino")), (3, ITEM)], "doc_id long, text string")
+        pool = ["Astra", "Belo", "Corvo", "Dena", "Esto", "Fino", "Gano", "Hilo"]
+        made = lambda k, n: "Today {} sold {} kg of figs to {} for {} coins while {} bought {} kg of salt from {} for {} coins at the old port.".format(*(x for j in range(4) for x in (pool[(k + 2 * j) % 8], n + 7 * j)))
+        items = spark.createDataFrame([(i, made(i, 100 * i + 3)) for i in range(4)] + [(9, ITEM)], "item_id long, text string")
+        docs = spark.createDataFrame([(1, "Well. " + made(0, 3)), (2, made(5, 911)), (3, ITEM)], "doc_id long, text string")
         got = {(r.doc_id, r.item_id, r.kind) for r in leakage.leaks(docs, items).collect()}
-        assert {(1, 0, "verbatim"), (3, 9, "verbatim")} <= got and {x for x in got if x[2] == "reparameterised"} and {x[1] for x in got if x[0] == 2} >= {0, 1, 2, 3}
+        assert {x for x in got if x[2] == "verbatim"} == {(1, 0, "verbatim"), (3, 9, "verbatim")}
+        assert {x for x in got if x[2] != "verbatim"} == {(1, i, "reparameterised") for i in (1, 2, 3)} | {(2, i, "reparameterised") for i in range(4)}
         assert got == getattr(type(self), "seen", got)
         type(self).seen = got
 
