@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import let, word_count
 
+# Shares of common parts from which on titles, leads and texts are alike, and the sizes that count.
 TITLE_ALIKE, LEAD_ALIKE, TEXT_ALIKE = 0.68, 0.60, 0.28
 LEAD_LEAST, TEXT_LEAST, TEXT_USED = 30, 150, 2500
 
@@ -133,35 +135,46 @@ def _alike(a: dict, b: dict) -> bool:
     return False
 
 
-def _cluster(rows: pd.DataFrame) -> pd.DataFrame:
-    """Greedy clusters in a fixed order: an article joins the first earlier primary that it resembles."""
-    rows = rows.sort_values(["source_rank", "article_id"], kind="stable").reset_index(drop=True)
-    primaries: list[tuple[int, dict]] = []
-    owner = []
-    for r in rows.itertuples():
-        text = (r.text or "")[:TEXT_USED].lower()
-        w = [x for x in re.split(r"\W+", text) if x]
-        one = {"title": (r.title or "").lower().strip(), "sapo": (r.sapo or "").lower().strip(), "pairs": set(zip(w, w[1:], strict=False)) if len(text) > TEXT_LEAST else set()}
-        hit = next((pid for pid, p in primaries if _alike(one, p)), None)
-        if hit is None:
-            primaries.append((r.article_id, one))
-            hit = r.article_id
-        owner.append(hit)
-    return pd.DataFrame({"article_id": rows["article_id"], "primary_id": owner})
+def _features(title: str | None, sapo: str | None, text: str | None) -> dict:
+    text = (text or "").lower()
+    w = [x for x in re.split(r"\W+", text) if x]
+    return {"title": (title or "").lower().strip(), "sapo": (sapo or "").lower().strip(), "pairs": set(zip(w, w[1:], strict=False)) if len(text) > TEXT_LEAST else set()}
+
+
+def _cluster(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Greedy clusters of articles that stream in by block and rank: each joins the first earlier primary that it resembles.
+
+    Only the primaries of the block at hand are held, never its articles.
+    """
+    block, primaries = None, []
+    for rows in batches:
+        owner = []
+        for b, article, title, sapo, text in rows[["__b", "article_id", "title", "sapo", "text"]].itertuples(index=False):
+            if b != block:
+                block, primaries = b, []
+            one = _features(title, sapo, text)
+            hit = next((pid for pid, p in primaries if _alike(one, p)), None)
+            if hit is None:
+                primaries.append((article, one))
+                hit = article
+            owner.append(hit)
+        yield pd.DataFrame({"article_id": rows["article_id"], "primary_id": owner})
 
 
 def cluster_articles(articles: DataFrame, block: Column) -> DataFrame:
     """``(article_id, primary_id)``: near-duplicates within a block get one primary (the earliest by source rank, then id).
 
-    ``articles`` has article_id, source_rank, title, sapo, text.  ``block`` must keep groups small (a firm and
-    publication window): a block is clustered in one task.
+    ``articles`` has article_id, source_rank, title, sapo, text, of which the first TEXT_USED characters are compared, as the
+    definition of a reprint asks for.  ``block`` is a firm and publication window: its distinct articles pass one task in
+    their order, since each is compared with the primaries before it.
     """
     rows = articles.select(block.alias("__b"), "article_id", "source_rank", "title", "sapo", F.substring("text", 1, TEXT_USED).alias("text"))
     # Exact copies are one article to the clustering; an aggregation, combined on the map side.
     same = ["__b", "title", "sapo", "text"]
     lead = F.min(F.struct("source_rank", "article_id"))
     distinct = rows.groupBy(*same).agg(lead.alias("m")).select("__b", "m.article_id", "m.source_rank", "title", "sapo", "text")
-    found = distinct.groupBy("__b").applyInPandas(lambda pdf: _cluster(pdf), "article_id long, primary_id long").withColumnRenamed("article_id", "__lead")
+    streamed = distinct.repartition("__b").sortWithinPartitions("__b", "source_rank", "article_id")
+    found = streamed.mapInPandas(_cluster, "article_id long, primary_id long").withColumnRenamed("article_id", "__lead")
     leads = distinct.select(*[F.col(c).alias(f"__{c}") for c in same], F.col("article_id").alias("__lead"))
     cond = F.lit(True)
     for c in same:
