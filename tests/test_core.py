@@ -499,3 +499,53 @@ class TestDirectory:
 
     def test_brands(self, spark):
         assert one(spark, "x", news.brand_order(F.array(F.lit("ab"), F.lit("abc"), F.lit("aa"), F.lit("ab")))) == ["abc", "aa", "ab"]
+
+
+class TestSmallSources:
+    def test_office_files(self, spark, tmp_path):
+        import sqlite3
+        import zipfile
+
+        from vellumspark.sources import office
+
+        m, w = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+        with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+            z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{m}"><si><t>từ khóa</t></si><si><r><t>sổ</t></r><r><t> cái</t></r></si></sst>')
+            z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{m}"><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>trọng số</t></is></c></row><row><c r="A2" t="s"><v>1</v></c><c r="C2"><v>2.5</v></c></row><row/></sheetData></worksheet>')
+        rows = office.workbook_rows(tmp_path / "a.xlsx")
+        assert rows == [["từ khóa", "", "trọng số"], ["sổ cái", "", "2.5"], []]
+        assert [(r.keyword, r.weight) for r in dictionary.from_sheet(spark, office.as_sheet(rows)).collect()] == [("sổ cái", 2.5)]
+        p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+        with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+            z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{p("Đầu")}<w:tbl><w:tr><w:tc>{p("a")}</w:tc><w:tc>{p("b")}</w:tc></w:tr></w:tbl>{p("")}</w:body></w:document>')
+        assert office.document_rows(tmp_path / "a.docx") == [["Đầu"], ["a", "b"]]
+        with sqlite3.connect(tmp_path / "a.db") as db:
+            db.execute("create table k (a text, b int)")
+            db.execute("insert into k values ('x', 1), (null, null)")
+        assert [tuple(r) for r in office.database_table(spark, tmp_path / "a.db", "k").collect()] == [("x", "1"), (None, None)]
+        with pytest.raises(ValueError):
+            office.database_table(spark, tmp_path / "a.db", "k; drop table k")
+        assert office.local_first(tmp_path / "a.db", "s3") == "s3" and office.local_first(tmp_path / "a.db", "s3", 10).endswith("a.db")
+
+    def test_dictionary_store(self, spark, tmp_path):
+        store = dictionary.Store(spark, str(tmp_path / "topics"))
+        assert store.topics() == []
+        old = dictionary.from_list(spark, ["Sổ cái", "AI"])
+        store.save("a", old)
+        store.save("a", dictionary.put(store.load("a"), dictionary.from_list(spark, ["sổ CÁI", "ML"])))
+        assert store.topics() == ["a"] and sorted(r.keyword for r in store.load("a").collect()) == ["AI", "ML", "sổ CÁI"]
+        assert sorted(r.keyword for r in dictionary.without(old, spark.createDataFrame([("ai",)], "keyword string")).collect()) == ["Sổ cái"]
+        assert dictionary.import_entries(old, old).count() == 2 and dictionary.import_entries(old, old.limit(0), "new").count() == 0
+        assert [r.keyword for r in dictionary.resolve(spark, " x ", "y", "a", None, store).collect()] == ["x"]
+        assert dictionary.resolve(spark, "", None, "missing", "a", store).count() == 3
+        with pytest.raises(LookupError):
+            dictionary.resolve(spark, store=store)
+        assert store.delete("a") and store.topics() == []
+
+    def test_corrections_and_lines(self, spark):
+        from vellumspark.functions import corrections
+
+        assert one(spark, "CÔNO TY CỎ PIIẦN cổ  phản http:llwww.x", corrections.correct_headings(F.col("x"))) == "CÔNG TY CỔ PHẦN cổ  phần http://www.x"
+        assert one(spark, "Một\n\n Xem thêm: hai\nTin khácx\nTags: y", news.without_boilerplate(F.col("x"))) == "Một\n\nTin khácx"
+        said = lambda t, s=None: one(spark, t, news.company_confirmed(F.lit("ABC"), F.lit(None).cast("string"), F.col("x"), F.lit(""), F.lit(""), F.lit(s)))
+        assert said("mã ck abc tăng") and said("(ABC)") and not said("abc tăng") and not said("XABC") and said("gì", "custom_feed") and not said("gì", "x")

@@ -184,3 +184,59 @@ def stats(entries: DataFrame) -> DataFrame:
 def keep_latest(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """Upsert rule: one row for each key, the last by ``order``."""
     return one_per_key(rows, keys, order, last=True)
+
+
+def import_entries(old: DataFrame, new: DataFrame, mode: str = "append") -> DataFrame:
+    """A dictionary after an import: ``append`` merges the new entries into the old ones, ``new`` keeps the new ones only."""
+    if mode not in ("append", "new"):
+        raise ValueError(f"unknown mode {mode}")
+    return merge(old, new) if mode == "append" else new
+
+
+def put(entries: DataFrame, entry: DataFrame) -> DataFrame:
+    """Entries with those of the same keyword, whatever its case, replaced by ``entry``, or with it added."""
+    return without(entries, entry.select("keyword")).unionByName(entry)
+
+
+def without(entries: DataFrame, keywords: DataFrame) -> DataFrame:
+    """Entries but those of the given keywords, whatever their case."""
+    gone = keywords.select(F.lower(F.trim("keyword")).alias("__k")).distinct()
+    return entries.withColumn("__k", F.lower(F.trim("keyword"))).join(gone, "__k", "left_anti").select(*entries.columns)
+
+
+class Store:
+    """Dictionaries by topic below one folder, a parquet table each."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        self._path = hadoop.Path(self.root)
+        self._fs = self._path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def topics(self) -> list[str]:
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path)) if self._fs.exists(self._path) else []
+
+    def load(self, topic: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{topic}")
+
+    def save(self, topic: str, entries: DataFrame) -> None:
+        """Writes a topic beside the old one first, which ``entries`` may be read from."""
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        entries.write.mode("overwrite").parquet(f"{self.root}/.{topic}")
+        self._fs.delete(place(f"{self.root}/{topic}"), True)
+        self._fs.rename(place(f"{self.root}/.{topic}"), place(f"{self.root}/{topic}"))
+
+    def delete(self, topic: str) -> bool:
+        return self._fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{topic}"), True)
+
+
+def resolve(spark: SparkSession, keywords: str | None = None, sheet: str | None = None, topic: str | None = None, project: str | None = None, store: Store | None = None) -> DataFrame:
+    """The dictionary that is meant: typed keywords before a sheet's text, before a stored topic, before the project's topic."""
+    if keywords and keywords.strip():
+        return from_string(spark, keywords)
+    if sheet and sheet.strip():
+        return from_sheet(spark, sheet)
+    for name in (topic, project):
+        if name and store is not None and name in store.topics():
+            return store.load(name)
+    raise LookupError("no keywords, sheet, topic or project names a dictionary")

@@ -80,14 +80,39 @@ def brand_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"(?iu)\s*[-–]\s*(?:ctcp|công\s+ty\s+cổ\s+phần)\s*$|\s*\([^)]*\)\s*$", ""))
 
 
-def company_confirmed(ticker: Column, company: Column, title: Column, sapo: Column, text: Column) -> Column:
-    """Whether an article names the firm: its code as a word of its own, its name (over 6 letters) or its brand (4 or more)."""
+# What stands before a firm's code, whatever the case of both; lines that are no part of an article.
+CODE_AHEAD = r"(?:mã(?: chứng khoán| ck)?|cổ phiếu|hose:|hnx:|upcom:)"
+BOILERPLATE = (
+    r"(?:tin|bài|video|ảnh)\s+(?:liên quan|cùng chuyên mục|khác|tương tự)", r"(?:xem|đọc|tham khảo|theo dõi|bấm vào đây để xem)\s+(?:thêm|tiếp|ngay|chi tiết)", r"có thể bạn quan tâm", r"(?:từ khóa|tags?):",
+    r"link\s+(?:gốc|bài viết):", r"(?:bản quyền thuộc về|copyright)", r"mọi thắc mắc,?\s+vui lòng liên hệ",
+    r"theo\s+(?:cafef|cafebiz|vietstock|vneconomy|tin nhanh chứng khoán|báo đầu tư|doanh nghiệp & tiếp thị|vietnamnet|vnexpress)", r"việt nam hàng ngày$",
+)
+
+
+def without_boilerplate(text: Column) -> Column:
+    """An article's lines without blank ones and those that only lead elsewhere, an empty line between them."""
+    lines = F.filter(F.transform(F.split(text, r"\r\n|\n|\r"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.lower(x).rlike(rf"^(?:{'|'.join(BOILERPLATE)})(?![\p{{L}}\p{{N}}_])"))
+    return F.array_join(lines, "\n\n")
+
+
+def own_source(source: Column) -> Column:
+    """Whether an article comes from the firm's own site or a source named for it."""
+    return F.coalesce((source == "company_website") | F.contains(source, F.lit("custom")), F.lit(False))
+
+
+def company_confirmed(ticker: Column, company: Column, title: Column, sapo: Column, text: Column, source: Column | None = None, brands: Column | None = None) -> Column:
+    """Whether an article names the firm: its code as a word of its own or behind what announces a code, its name (over 6
+    letters) or a brand (4 or more); articles of the firm's own sources are taken as they are."""
     body = F.concat_ws(" ", title, sapo, F.substring(text, 1, 4000))
     code = F.regexp_like(body, F.concat(F.lit(r"(?<![A-Za-z0-9])"), ticker, F.lit(r"(?![A-Za-z0-9])")))
     low, name, brand = F.lower(body), F.lower(company), F.lower(brand_name(company))
+    code = code | F.regexp_like(low, F.concat(F.lit(rf"(?<![\p{{L}}\p{{N}}_]){CODE_AHEAD}\s*"), F.lower(ticker), F.lit(r"(?![\p{L}\p{N}_])")))
     named = (F.length(name) > 6) & F.contains(low, name)
     branded = (F.length(brand) >= 4) & F.contains(low, brand)
-    return F.coalesce(code, F.lit(False)) | F.coalesce(named, F.lit(False)) | F.coalesce(branded, F.lit(False))
+    if brands is not None:
+        branded = branded | F.exists(brands, lambda b: (F.length(b) >= 4) & F.contains(low, F.lower(b)))
+    found = F.coalesce(code, F.lit(False)) | F.coalesce(named, F.lit(False)) | F.coalesce(branded, F.lit(False))
+    return found if source is None else own_source(source) | found
 
 
 def keyword_confirmed(texts: list[Column], keywords: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import corrections
 from ..operators import contexts, directory, finance, metrics, news
 from ..session import spread, table
 from . import panel_queries, text_queries
@@ -162,6 +163,16 @@ def reprints(spark: SparkSession, d: str) -> DataFrame:
     return news.with_duplicates(primary, ["n_letters"])
 
 
+def article_lines(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(spark, d, "documents")).where("doc_kind = 'news' and text is not null")
+    return docs.select("doc_id", F.md5(news.without_boilerplate(F.concat(F.col("text"), F.lit("\n\nXem thêm: tin khác\nTags: a\nCopyright b")))).alias("h"))
+
+
+def heading_corrections(spark: SparkSession, d: str) -> DataFrame:
+    texts = spread(table(spark, d, "multi_era_50_results")).where("raw_text is not null").select("audit_id", F.concat(F.col("raw_text"), F.lit(" http:Jlwww.x.vn cổ  phản CÔNO TY CỎ PIIẦN")).alias("t"))
+    return texts.select("audit_id", F.md5(corrections.correct_headings(F.col("t"))).alias("h"))
+
+
 def snippet_merge(spark: SparkSession, d: str) -> DataFrame:
     """Snippets of a report that start within 200 characters of the last kept one, merged."""
     s = table(spark, d, "snippets").where("report_id is not null and position_in_text is not null and similarity_score is not null")
@@ -174,7 +185,7 @@ QUERIES = {
     for f in (
         industry_levels, industry_reports, industry_supported, local_reports, records_by_id, company_directory, company_list, finished_reports, largest_reports, report_availability, ticker_summary,
         active_years, report_coverage, gap_targets, indexed_files, repeated_next_year, latest_facts, balance_repair, master_items, provider_panel, statement_pipeline, named_categories, top_keywords,
-        undated_articles, reprints, snippet_merge,
+        undated_articles, reprints, article_lines, heading_corrections, snippet_merge,
     )
 }
 
@@ -216,5 +227,8 @@ SELECT ticker, year, """ + ", ".join(f"round({c}, 2) AS {c}" for c in PROVIDER)
     "named_categories": _HITS + ", k AS (SELECT unnest(['an_toan', 'quan_tri', 'no such category']) AS category) SELECT category, CAST(coalesce(sum(n), 0) AS BIGINT) AS frequency, count(DISTINCT canonical) AS unique_keywords FROM k LEFT JOIN h USING (category) GROUP BY 1",
     "top_keywords": _HITS + "SELECT canonical AS keyword, CAST(sum(n) AS BIGINT) AS frequency FROM h GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
     "undated_articles": "SELECT CAST(coalesce(year(published_at), 2026) AS INT) AS year, count(*) AS n FROM documents WHERE doc_kind = 'news' GROUP BY 1",
+    "article_lines": r"""WITH l AS (SELECT doc_id, list_transform(string_split_regex(text || chr(10) || chr(10) || 'Xem thêm: tin khác' || chr(10) || 'Tags: a' || chr(10) || 'Copyright b', '\r\n|\n|\r'), lambda x: trim(x)) AS l FROM documents WHERE doc_kind = 'news' AND text IS NOT NULL)
+SELECT doc_id, md5(array_to_string(list_filter(l, lambda x: x <> '' AND NOT regexp_matches(lower(x), '""" + rf"^(?:{'|'.join(news.BOILERPLATE)})(?:[^\p{{L}}\p{{N}}_]|$)" + """')), chr(10) || chr(10))) AS h FROM l""",
+    "heading_corrections": "SELECT audit_id, md5(regexp_replace(regexp_replace(" + "replace(" * len(corrections.MISREAD_HEADINGS) + "raw_text || ' http:Jlwww.x.vn cổ  phản CÔNO TY CỎ PIIẦN'" + "".join(f", '{a}', '{b}')" for a, b in corrections.MISREAD_HEADINGS) + r", '([Cc]ổ\s+[Pp])hản', '\1hần', 'g'), 'http:[JIl/]+www', 'http://www', 'g')) AS h FROM multi_era_50_results WHERE raw_text IS NOT NULL",
     "reprints": "SELECT doc_id, source, CAST(length(text) AS INT) AS n_letters, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) > 1 AS is_duplicate FROM documents WHERE doc_kind = 'news' AND text IS NOT NULL",
 }

@@ -177,7 +177,7 @@ def news_gap_filled(spark: SparkSession, d: str) -> DataFrame:
 
 def company_mentions(spark: SparkSession, d: str) -> DataFrame:
     a = _articles(spark, d).join(table(spark, d, "companies").select("ticker", "company_name"), "ticker")
-    return a.select("article_id", news.company_confirmed(F.col("ticker"), F.col("company_name"), F.col("title"), F.col("sapo"), F.col("text")).alias("confirmed"))
+    return a.select("article_id", news.company_confirmed(F.col("ticker"), F.col("company_name"), F.col("title"), F.col("sapo"), F.col("text"), F.col("source"), F.split(F.col("company_name"), " ")).alias("confirmed"))
 
 
 def shingle_overlap(spark: SparkSession, d: str) -> DataFrame:
@@ -319,9 +319,9 @@ round(CASE WHEN ta > 0 THEN ln(ta) END, 4) AS size_ln, round(inv * 365 / nullif(
     "article_years": r"""WITH y AS (SELECT doc_id, CAST(year(published_at) AS VARCHAR) AS p, regexp_extract(source, '/((?:19|20)\d\d)/', 1) AS a, regexp_extract(source, '(?:^|\D)((?:19|20)\d\d)(?:\D|$)', 1) AS b, regexp_extract(substring(text, 1, 600), '\d{1,2}[/.-]\d{1,2}[/.-]((?:19|20)\d\d)', 1) AS c,
 regexp_extract(substring(text, 1, 300), '(?:^|\D)((?:19|20)\d\d)(?:\D|$)', 1) AS d FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, CAST(coalesce(p, nullif(a, ''), nullif(b, ''), nullif(c, ''), nullif(d, '')) AS INT) AS year FROM y""",
-    "company_mentions": r"""WITH a AS (SELECT doc_id AS article_id, d.ticker, company_name, substring(split_part(text, '.', 1), 1, 200) || ' ' || substring(text, 1, 300) || ' ' || substring(text, 1, 4000) AS body FROM documents d JOIN companies c ON d.ticker = c.ticker WHERE doc_kind = 'news' AND text IS NOT NULL),
+    "company_mentions": r"""WITH a AS (SELECT doc_id AS article_id, d.ticker, company_name, substring(split_part(text, '.', 1), 1, 200) || ' ' || substring(text, 1, 300) || ' ' || substring(text, 1, 4000) AS body, source FROM documents d JOIN companies c ON d.ticker = c.ticker WHERE doc_kind = 'news' AND text IS NOT NULL),
 b AS (SELECT *, lower(trim(regexp_replace(regexp_replace(company_name, '(?i)^\s*(?:tổng\s+công\s+ty|công\s+ty|ctcp|ngân\s+hàng|tập\s+đoàn)\s*(?:cổ\s+phần|tnhh|mtv|tm)?\s*(?:mtv)?\s*', ''), '(?i)\s*[-–]\s*(?:ctcp|công\s+ty\s+cổ\s+phần)\s*$|\s*\([^)]*\)\s*$', ''))) AS brand FROM a)
-SELECT article_id, (regexp_matches(body, '(?:^|[^A-Za-z0-9])' || ticker || '(?:[^A-Za-z0-9]|$)') OR coalesce(length(company_name) > 6 AND contains(lower(body), lower(company_name)), false) OR coalesce(length(brand) >= 4 AND contains(lower(body), brand), false)) AS confirmed FROM b""",
+SELECT article_id, (source = 'company_website' OR contains(source, 'custom') OR coalesce(list_bool_or(list_transform(string_split(company_name, ' '), lambda t: length(t) >= 4 AND contains(lower(body), lower(t)))), false) OR regexp_matches(lower(body), '(?:^|[^\p{L}\p{N}_])(?:mã(?: chứng khoán| ck)?|cổ phiếu|hose:|hnx:|upcom:)\s*' || lower(ticker) || '(?:[^\p{L}\p{N}_]|$)') OR regexp_matches(body, '(?:^|[^A-Za-z0-9])' || ticker || '(?:[^A-Za-z0-9]|$)') OR coalesce(length(company_name) > 6 AND contains(lower(body), lower(company_name)), false) OR coalesce(length(brand) >= 4 AND contains(lower(body), brand), false)) AS confirmed FROM b""",
     "facts_upsert": _LONG + "SELECT ticker, count(*) AS n, round(sum(CASE WHEN ticker LIKE '%5' THEN value * 2 ELSE value END), 1) AS total FROM (SELECT * FROM w UNPIVOT INCLUDE NULLS (value FOR item_code IN (" + ", ".join(ITEMS) + "))) GROUP BY 1",
     "panel_merge": """WITH a AS (SELECT upper(trim(ticker)) AS ticker, report_year AS year, total_pages, report_id FROM reports WHERE trim(ticker) <> '' AND report_year IS NOT NULL QUALIFY row_number() OVER (PARTITION BY upper(trim(ticker)), report_year ORDER BY report_id) = 1),
 b AS (SELECT upper(trim(ticker)) AS ticker, report_year AS year, labor, audit_id FROM multi_era_50_results WHERE trim(ticker) <> '' AND report_year IS NOT NULL QUALIFY row_number() OVER (PARTITION BY upper(trim(ticker)), report_year ORDER BY audit_id DESC) = 1)
