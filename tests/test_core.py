@@ -54,6 +54,13 @@ class TestPacked:
         assert len(rows) == 5004 and {(r.pos, r.item) for r in rows if r.record_key == "k"} == {(1, "a"), (2, "b")}
         assert split_packed(df.limit(0), F.col("key"), F.col("v"), "t.v").count() == 0
 
+    def test_many_known_names(self, spark):
+        r = random.Random(9)
+        names = sorted({"".join(r.choice("ab, (") for _ in range(r.randint(3, 9))).strip() + str(i) for i in range(12_000)} | {"Kho", "Kho lạnh", "Kho lạnh, cảng"})
+        assert one(spark, "Công ty; Kho lạnh, cảng; Kho lạnh", packed_values(F.col("x"), names)) == ["Công ty", "Kho lạnh, cảng", "Kho lạnh"]
+        picked = r.sample([n for n in names if n[0] in "ab"], 5)
+        assert one(spark, "Hãng; " + "; ".join(picked), packed_values(F.col("x"), names)) == ["Hãng", *picked]
+
     @pytest.mark.parametrize(("a", "b"), [('"', '"'), ("“", "”"), ("'", "'"), ("«", "»")])
     def test_long_values(self, spark, a, b):
         long = "x, " * 33_000 + "y"

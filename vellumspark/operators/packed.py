@@ -24,7 +24,6 @@ SPACED = r"(?<=\s)[/\-–—](?=[\s\ue000])"
 _START = r"(?:^|(?<=[|;,\t\r\n])|(?<=\s[/\-–—])|(?<=^[\-*•]))[  ]*"
 _END = r"(?=[  ]*(?:$|[|;,\t\r\n]|\s[/\-–—](?:\s|$)))"
 _QUOTED = rf'"(?:[^"]++|"")*+"{_END}|“[^”]*”{_END}|\'[^\']*\'{_END}|«[^»]*»{_END}'
-MAX_KNOWN = 5000
 
 
 def _escape(c: Column) -> Column:
@@ -53,21 +52,46 @@ def _unquote(c: Column) -> Column:
     )
 
 
+def _any_of(names: Sequence[str]) -> str:
+    """A pattern for the longest name that begins at a place: names share their beginnings, so their number costs little."""
+    tree: dict = {}
+    for name in names:
+        node = tree
+        for c in name:
+            node = node.setdefault(c, {})
+        if name:
+            node[""] = {}
+
+    def pattern(node: dict) -> str:
+        arms = []
+        for c, child in sorted(node.items()):
+            if c:
+                run = c
+                while len(child) == 1 and "" not in child:
+                    (c, child), = child.items()
+                    run += c
+                arms.append(re.escape(run) + pattern(child))
+        if not arms:
+            return ""
+        joined = f"(?:{'|'.join(arms)})" if len(arms) > 1 or "" in node else arms[0]
+        return joined + ("?" if "" in node else "")
+
+    return pattern(tree)
+
+
 def packed_values(value: Column, known: Sequence[str] = ()) -> Column:
     """``ARRAY<STRING>`` of the values packed in ``value``, in their order.
 
-    known: a bounded vocabulary (at most ``MAX_KNOWN`` names).  Its names are
+    known: a fixed vocabulary, which becomes part of the plan.  Its names are
     protected like quoted spans, whatever delimiters they contain, even where
     nothing parts them from the text before; all text before the first of them
     is one value.
     """
-    if len(known) > MAX_KNOWN:
-        raise ValueError(f"known holds {len(known)} names; at most {MAX_KNOWN} are supported")
     text = _trim(_escape(value))
     as_json = F.when(text.rlike(r"(?s)^\[.*\]$"), F.from_json(text, "array<string>"))
     is_list = text.rlike(r"(?s)^[\-*•][  ]+\S") & text.rlike(r"\n[\-*•][  ]+") | text.rlike(r"(?s)^[\-*•][  ]+[^\n]*$")
     body = F.when(is_list, F.regexp_replace(text, r"(?m)^[\-*•][  ]+", "")).otherwise(text)
-    names = "|".join(re.escape(k) for k in sorted(set(known), key=lambda k: (-len(k), k)))
+    names = _any_of(known)
     span = _START + f"(?:{_QUOTED})"
     if names:
         span += rf'|["“\'«]?(?:{names})["”\'»]?'
