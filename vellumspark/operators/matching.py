@@ -129,7 +129,8 @@ class NearMisses:
             next_at = rest[0] if rest else at
             self.anchors.setdefault(place[p[at]], []).append((k, at, next_at - at, place[p[next_at]]))
         self.floor = min(WORD_ALIKE, threshold / 100)
-        self.seen: dict[str, tuple[str, bool, dict[int, bool] | None]] = {}
+        #: By token: the bare word, whether a clause ends behind it, what it resembles, and the forms it may anchor by the distance and the word that must stand there.
+        self.seen: dict[str, tuple[str, bool, dict[int, bool] | None, list[tuple[int, dict[int, list[tuple[int, int]]]]]]] = {}
         self.judged: dict[tuple[str, int], tuple[float, int] | None] = {}
         letters = sorted({c for w in self.words for c in w})
         self.code = {c: i for i, c in enumerate(letters)}
@@ -190,14 +191,20 @@ class NearMisses:
         inside = (np.uint64(1) << np.minimum(self.size[w], 63).astype(np.uint64)) - np.uint64(1)
         return np.bitwise_count(~rest & inside).astype(np.int64)
 
-    def learn(self, texts: list[str]) -> None:
-        """Compares the words of a batch that were not seen before."""
+    def learn(self, texts: list[str]) -> list[list[str]]:
+        """The tokens of a batch, after those not seen before were compared with the forms' words."""
         if len(self.seen) > 500_000:
             self.seen.clear()
-        raw = sorted({t for text in texts for t in text.split()} - self.seen.keys())
+        listed = [text.split() for text in texts]
+        raw = sorted(set().union(*listed) - self.seen.keys())
         clean = [t.strip(EDGES) for t in raw]
         for t, c, near in zip(raw, clean, self._resembled(clean) if self.words else [None] * len(raw), strict=True):
-            self.seen[t] = c, t[-1] in BREAKS, near if c else None
+            steps: dict[int, dict[int, list[tuple[int, int]]]] = {}
+            for w in (near or ()) if c else ():
+                for k, place, step, other in self.anchors.get(w, ()):
+                    steps.setdefault(step, {}).setdefault(other, []).append((k, place))
+            self.seen[t] = c, t[-1] in BREAKS, near if c else None, list(steps.items())
+        return listed
 
     def _judge(self, window: str, k: int) -> tuple[float, int] | None:
         """(similarity in per cent, edit distance) of a run of words and a form; None where a guard speaks against it."""
@@ -212,35 +219,49 @@ class NearMisses:
         alike = 100 * indel_ratio(window, form)
         return (round(alike, 2), distance) if self.threshold <= alike < 100 else None
 
-    def find(self, text: str, forms: dict[str, tuple[str, str]]) -> list[tuple]:
-        """Near misses of a lower-case text whose words were learned."""
-        tokens = [x for t in text.split() if (x := self.seen[t])[0]]
+    def find(self, text: str, raw: list[str], forms: dict[str, tuple[str, str]]) -> list[tuple]:
+        """Near misses of a lower-case text whose tokens were learned."""
+        tokens = [x for x in map(self.seen.__getitem__, raw) if x[0]]
         out, starts, number = [], None, len(tokens)
-        for at, (_, _, near) in enumerate(tokens):
-            for w in near or ():
-                for k, place, step, other in self.anchors.get(w, ()):
-                    first = at - place
-                    if step and (first < 0 or at + step >= number or not (beside := tokens[at + step][2]) or not beside.get(other)):
-                        continue
-                    words = self.parts_at[k]
-                    run = tokens[first : first + len(words)] if first >= 0 else []
-                    if len(run) < len(words) or any(brk for _, brk, _ in run[:-1]):
-                        continue
-                    if len(words) > 1 and not all(r and r.get(x) for (_, _, r), x in zip(run, words, strict=True)):
-                        continue
-                    window = " ".join(r[0] for r in run)
-                    if (window, k) not in self.judged:
-                        if len(self.judged) > 500_000:
-                            self.judged.clear()
-                        self.judged[window, k] = self._judge(window, k)
-                    if (hit := self.judged[window, k]) is None:
+        for at, (_, _, _, steps) in enumerate(tokens):
+            for step, group in steps:
+                other = at + step
+                if not 0 <= other < number or not (beside := tokens[other][2]):
+                    continue
+                for w in beside if len(beside) < len(group) else group:
+                    # a word of a phrase must be close, a word alone is judged as a whole
+                    if w not in group or w not in beside or step and not beside[w]:
                         continue
-                    if starts is None:
-                        starts = [m.start() for m in re.finditer(r"\S+", text) if self.seen[m.group()][0]]
-                    canonical, category = forms[self.forms[k]]
-                    out.append((window, canonical, category, starts[first], starts[first] + len(window), "fuzzy", *hit))
+                    for k, place in group[w]:
+                        hit = self._at(tokens, at - place, k)
+                        if hit is None:
+                            continue
+                        if starts is None:
+                            starts = [m.start() for m in re.finditer(r"\S+", text) if self.seen[m.group()][0]]
+                        window, alike, distance = hit
+                        canonical, category = forms[self.forms[k]]
+                        begin = starts[at - place]
+                        out.append((window, canonical, category, begin, begin + len(window), "fuzzy", alike, distance))
         return out
 
+    def _at(self, tokens: list[tuple], first: int, k: int) -> tuple[str, float, int] | None:
+        """(run of words, similarity, distance) where the run that begins at a token resembles form ``k``."""
+        words = self.parts_at[k]
+        run = tokens[first : first + len(words)] if first >= 0 else []
+        if len(run) < len(words):
+            return None
+        if len(words) > 1:
+            for n, (_, brk, near, _) in enumerate(run, 1):
+                if brk and n < len(run) or not near or not near.get(words[n - 1]):
+                    return None
+        window = " ".join([r[0] for r in run])
+        if (window, k) not in self.judged:
+            if len(self.judged) > 500_000:
+                self.judged.clear()
+            self.judged[window, k] = self._judge(window, k)
+        hit = self.judged[window, k]
+        return None if hit is None else (window, *hit)
+
 
 def edit_distance(a: str, b: str) -> int:
     row = list(range(len(b) + 1))
@@ -330,13 +351,12 @@ def _search_udf(shared, fuzzy: bool, threshold: float, exclusions: tuple[str, ..
         scanner, near = _searcher(shared.value, fuzzy, threshold, exclusions)
         for texts, raw in normal:
             low = [(t or "").lower() for t in raw.to_pylist()] if near else []
-            if near:
-                near.learn(low)
+            tokens = near.learn(low) if near else []
             bounds, rows = [0], []
             for k, t in enumerate(texts.to_pylist()):
                 found = scanner.find(t) if t else []
                 if near and low[k]:
-                    found += near.find(low[k], scanner.forms)
+                    found += near.find(low[k], tokens[k], scanner.forms)
                 if resolve and len(found) > 1:
                     found = disjoint(found)
                 rows += found
