@@ -11,7 +11,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,9 @@ WORD_ALIKE = 0.75
 NOISE, NOISE_LIMIT, NOISE_REACH = "@#%^*~`'{}/\\", 3, 25
 
 
+_BLANKS, _UNEVEN = re.compile(r"\s+"), re.compile(r"\s\s|[^\S ]")
+
+
 class Scanner:
     """All occurrences of all forms in a text, on word boundaries, whatever the case and the blanks between words."""
 
@@ -50,6 +53,9 @@ class Scanner:
             key = " ".join(form.lower().split())
             if key:
                 self.forms[key] = (canonical, category)
+        word = lambda c: c.isalnum() or c == "_"
+        #: By form: its length, whether it begins and ends with a word character, whether it is a short acronym, what it stands for.
+        self.facts = {k: (len(k), word(k[0]), word(k[-1]), len(k) <= 3 and k.isascii(), *v) for k, v in self.forms.items()}
         try:
             import ahocorasick
 
@@ -63,50 +69,49 @@ class Scanner:
             self.pattern = {k: re.compile(re.escape(k)) for k in self.forms}
 
     @staticmethod
-    def fold(text: str) -> tuple[str, list[int] | None]:
-        """The lower-case text with single blanks, and each of its characters' places (None: the same)."""
+    def fold(text: str) -> str:
+        """The lower-case text with single blanks."""
         low = text.lower()
         if len(low) != len(text):
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        if not re.search(r"\s\s|[^\S ]", low):
-            return low, None
-        out, place, blank = [], [], False
-        for i, c in enumerate(low):
-            if c.isspace():
-                if not blank:
-                    out.append(" ")
-                    place.append(i)
-                blank = True
-            else:
-                out.append(c)
-                place.append(i)
-                blank = False
-        return "".join(out), place
+        return _BLANKS.sub(" ", low) if _UNEVEN.search(low) else low
+
+    @staticmethod
+    def places(text: str) -> Callable[[int], int]:
+        """The place in a text of a place in its folded form: runs of blanks became one."""
+        ends, shifts, gone = [], [], 0
+        for m in _BLANKS.finditer(text):
+            if m.end() - m.start() > 1:
+                ends.append(m.start() - gone)
+                gone += m.end() - m.start() - 1
+                shifts.append(gone)
+        if not ends:
+            return lambda at: at
+        # a run's own blank stands at its begin; what follows is shifted
+        return lambda at: at + (shifts[k - 1] if (k := bisect.bisect_left(ends, at)) else 0)
 
     def find(self, text: str) -> list[tuple]:
         if not text or not self.forms:
             return []
-        low, place = self.fold(text)
-        spans = (
-            ((end - len(key) + 1, end + 1, key) for end, key in self.automaton.iter(low))
-            if self.automaton is not None
-            else ((m.start(), m.end(), k) for k, p in self.pattern.items() for m in p.finditer(low))
-        )
-        out = []
-        word = lambda c: c.isalnum() or c == "_"
-        for a, b, key in spans:
-            if (a and word(low[a - 1]) and word(low[a])) or (b < len(low) and word(low[b]) and word(low[b - 1])):
+        low = self.fold(text)
+        spans = self.automaton.iter(low) if self.automaton is not None else ((m.end() - 1, k) for k, p in self.pattern.items() for m in p.finditer(low))
+        out, place, size = [], None, len(low)
+        for last, key in spans:
+            length, begins, ends, short, canonical, category = self.facts[key]
+            a, b = last + 1 - length, last + 1
+            # a word character on either side makes it a part of a longer word
+            if begins and a and ((c := low[a - 1]).isalnum() or c == "_") or ends and b < size and ((c := low[b]).isalnum() or c == "_"):
                 continue
-            start = place[a] if place else a
-            end = (place[b - 1] if place else b - 1) + 1
+            if place is None:
+                place = self.places(text) if size != len(text) else int
+            start, end = place(a), place(b - 1) + 1
             found = text[start:end]
-            if len(key) <= 3 and key.isascii():
+            if short:
                 if found != found.upper() or not re.search("[A-Z]", found):
                     continue
                 near = text[max(0, start - NOISE_REACH) : end + NOISE_REACH]
                 if sum(c in NOISE for c in near) >= NOISE_LIMIT:
                     continue
-            canonical, category = self.forms[key]
             out.append((found, canonical, category, start, end, "exact", 100.0, 0))
         out.sort(key=lambda m: (m[3], m[4], m[1]))
         return out
