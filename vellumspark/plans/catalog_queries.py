@@ -227,6 +227,8 @@ SELECT ticker, year, """ + ", ".join(f"round({c}, 2) AS {c}" for c in PROVIDER)
     "named_categories": _HITS + ", k AS (SELECT unnest(['an_toan', 'quan_tri', 'no such category']) AS category) SELECT category, CAST(coalesce(sum(n), 0) AS BIGINT) AS frequency, count(DISTINCT canonical) AS unique_keywords FROM k LEFT JOIN h USING (category) GROUP BY 1",
     "top_keywords": _HITS + "SELECT canonical AS keyword, CAST(sum(n) AS BIGINT) AS frequency FROM h GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
     "undated_articles": "SELECT CAST(coalesce(year(published_at), 2026) AS INT) AS year, count(*) AS n FROM documents WHERE doc_kind = 'news' GROUP BY 1",
+    "snippet_merge": """WITH m AS (SELECT report_id, list_sort(list({'p': position_in_text, 's': similarity_score, 'n': CAST(1 AS BIGINT)})) AS l FROM snippets WHERE report_id IS NOT NULL AND position_in_text IS NOT NULL AND similarity_score IS NOT NULL GROUP BY 1)
+SELECT report_id, CAST(len(l) AS INT) AS n, CAST(list_reduce(l, lambda a, x: CASE WHEN x.p - a.p < 200 THEN CASE WHEN x.s > a.s THEN {'p': x.p, 's': x.s, 'n': a.n} ELSE a END ELSE {'p': x.p, 's': x.s, 'n': a.n + 1} END).n AS INT) AS n_kept FROM m""",
     "article_lines": r"""WITH l AS (SELECT doc_id, list_transform(string_split_regex(text || chr(10) || chr(10) || 'Xem thêm: tin khác' || chr(10) || 'Tags: a' || chr(10) || 'Copyright b', '\r\n|\n|\r'), lambda x: trim(x)) AS l FROM documents WHERE doc_kind = 'news' AND text IS NOT NULL)
 SELECT doc_id, md5(array_to_string(list_filter(l, lambda x: x <> '' AND NOT regexp_matches(lower(x), '""" + rf"^(?:{'|'.join(news.BOILERPLATE)})(?:[^\p{{L}}\p{{N}}_]|$)" + """')), chr(10) || chr(10))) AS h FROM l""",
     "heading_corrections": "SELECT audit_id, md5(regexp_replace(regexp_replace(" + "replace(" * len(corrections.MISREAD_HEADINGS) + "raw_text || ' http:Jlwww.x.vn cổ  phản CÔNO TY CỎ PIIẦN'" + "".join(f", '{a}', '{b}')" for a, b in corrections.MISREAD_HEADINGS) + r", '([Cc]ổ\s+[Pp])hản', '\1hần', 'g'), 'http:[JIl/]+www', 'http://www', 'g')) AS h FROM multi_era_50_results WHERE raw_text IS NOT NULL",

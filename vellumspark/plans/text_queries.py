@@ -175,7 +175,11 @@ h AS (SELECT doc_id, source, report_id, published_at, canonical, category, (leng
       FROM d JOIN q ON contains(t, q))
 """
 _WORDS = r"len(list_filter(regexp_split_to_array(text, '[\s\p{Z}]+'), lambda x: x <> ''))"
+# A full stop behind a figure or an abbreviation is hidden ('¤'; twice, as neighbours share a blank), the other ends are marked.
+_ABBREVIATED = rf"(^|[^\p{{L}}\p{{N}}])({'|'.join(contexts.ABBREVIATIONS)})\.([\s\p{{Z}}\x0b\x85])"
+_HIDDEN = rf"regexp_replace(regexp_replace(regexp_replace(text, '(\d)\.([\s\p{{Z}}\x0b\x85])', '\1¤\2', 'g'), '{_ABBREVIATED}', '\1\2¤\3', 'gi'), '{_ABBREVIATED}', '\1\2¤\3', 'gi')"
 SQL = {
+    "sentence_counts": rf"SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace({_HIDDEN}, '([.!?][\s\p{{Z}}\x0b\x85]|\n[\s\p{{Z}}\x0b\x85]*\n)', '\1' || chr(57344), 'g'), chr(57344)), lambda x: regexp_matches(x, '[^\s\p{{Z}}\x0b\x85]'))) AS INT) AS n_sentences FROM documents WHERE text IS NOT NULL",
     "keyword_panel": _HITS + "SELECT source, category, CAST(sum(n) AS BIGINT) AS frequency, count(DISTINCT doc_id) AS documents, count(DISTINCT canonical) AS unique_keywords FROM h GROUP BY 1, 2",
     "keyword_counts": _HITS + "SELECT report_id, CAST(year(published_at) AS INT) AS year, category, canonical AS keyword, CAST(sum(n) AS BIGINT) AS frequency FROM h WHERE report_id IS NOT NULL AND published_at IS NOT NULL GROUP BY 1, 2, 3, 4",
     "core_variables": _HITS + f""", s AS (SELECT doc_id, CAST(sum(n) AS INT) AS n, CAST(count(DISTINCT canonical) AS INT) AS u FROM h GROUP BY 1),
