@@ -1,6 +1,7 @@
 """Small cases of the training-data operators."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -504,6 +505,16 @@ class TestTruncation:
         assert rows.where("asks").select("tid").distinct().count() == 150
         assert truncation.verdicts(docs, truncation.sign(docs, c), c).count() <= 150
 
+    def test_shingles_of_a_large_batch(self):
+        """A batch of the size that Spark hands over takes the memory of a slice of it."""
+        texts = pa.array(self.bodies(20, 250) * 200)
+        alone = list(truncation._shingles(texts[:20]))
+        tracemalloc.start()
+        got = list(truncation._shingles(texts))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got == alone * 200 and peak < 200_000_000
+
     def test_signatures_hold_for_heads(self):
         text = self.bodies(1, 3000)[0]
         head = " ".join(text.split()[: truncation.HEAD * truncation.HEAD_STEP])

@@ -392,7 +392,7 @@ def verdicts(docs: DataFrame, signed: DataFrame, closings: Closings) -> DataFram
     # Only the texts of the buckets are held, one of equal ones.
     wanted = _small(rows.select("tid").distinct())
     texts = docs.select(text_id(F.col("text")).alias("tid"), "text").join(wanted, "tid", "left_semi").dropDuplicates(["tid"])
-    held = cut_lineage(texts.select("tid", "text", F.pandas_udf(_shingles, "binary")("text").alias("shingles")))
+    held = cut_lineage(texts.select("tid", "text").mapInArrow(_with_shingles, "tid long, text string, shingles binary"))
     texts, sets = held.select("tid", "text"), held.select("tid", "shingles")
     contained = F.pandas_udf(lambda a, b: pd.Series([_contained(x, y) for x, y in zip(a, b, strict=True)], dtype=bool), "boolean")
 
@@ -424,12 +424,24 @@ def verdicts(docs: DataFrame, signed: DataFrame, closings: Closings) -> DataFram
     return out
 
 
-def _shingles(texts: pd.Series) -> pd.Series:
-    """The sorted distinct shingles of every text, half of their bits each, as bytes."""
-    words, bounds, _, _ = hashed_words(pa.array(texts, pa.string()))
-    key, at = windows(words, bounds, SHINGLE)
-    place = np.searchsorted(at, bounds)
-    return pd.Series([np.unique((key[a:b] >> np.uint64(32)).astype(np.uint32)).tobytes() for a, b in zip(place, place[1:], strict=False)], dtype=object)
+def _with_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (id, text) with the texts' sets of shingles."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_shingles(batch.column(1)), pa.binary())], names=["tid", "text", "shingles"])
+
+
+def _shingles(texts: pa.Array) -> list[bytes]:
+    """The sorted distinct shingles of every text, half of their bits each, as bytes.
+
+    In slices: the arrays that they come from take some 70 bytes a letter.
+    """
+    out = []
+    for part in slices([pa.RecordBatch.from_arrays([texts], names=["text"])], 0):
+        words, bounds, _, _ = hashed_words(part.column(0))
+        key, at = windows(words, bounds, SHINGLE)
+        place = np.searchsorted(at, bounds)
+        out += [np.unique((key[a:b] >> np.uint64(32)).astype(np.uint32)).tobytes() for a, b in zip(place, place[1:], strict=False)]
+    return out
 
 
 def _contained(a: bytes, b: bytes) -> bool:
