@@ -505,6 +505,33 @@ class TestTruncation:
         assert rows.where("asks").select("tid").distinct().count() == 150
         assert truncation.verdicts(docs, truncation.sign(docs, c), c).count() <= 150
 
+    def test_every_near_copy_is_asked(self, spark):
+        """Near-copies that end there (1) or have an ending of their own (2) are longer than those that go on, but don't hide them."""
+        a, b, other, more = (self.bodies(4, 700, 21)[k].split() for k in range(4))
+        text = lambda w, end: " ".join(w[: end - 1] + ["tiếp"])
+        rows = [
+            (1, text(a, 150)), (10, text(a, 150) + "\n" + " ".join(other)), (11, text(a, 150) + " " + " ".join(a[150:600]) + "."),
+            (2, text(b, 150)), (20, " ".join(b[:138] + more) + "."), (21, text(b, 150) + " " + " ".join(b[150:600]) + "."),
+        ]
+        texts = dict(rows)
+        assert [truncation.align_end(texts[x], texts[y]) for x, y in ((1, 10), (1, 11), (2, 20), (2, 21))] == [0, 1, 2, 1]
+        docs = spark.createDataFrame([(i, "s", t) for i, t in rows], "doc_id long, source string, text string")
+        assert {(r.doc_id, r.by_copy) for r in truncation.cut_documents(docs).collect()} == {(1, True), (2, True)}
+
+    def test_lines_behind_a_cut_hide_no_copy(self, spark):
+        words = self.bodies(1, 200, 23)[0].split()
+        full, short = " ".join(words), " ".join([*words[:35], words[35].strip(".")])
+        line = "Xem tiếp bản đầy đủ tại trang điện tử của công ty"
+        docs = spark.createDataFrame([(1, "s", full), (2, "s", short + "\n" + line)], "doc_id long, source string, text string")
+        c = truncation.Closings([("d", "", 2), ("l", line, 3), ("c", line, 0)])
+        got = truncation.verdicts(docs, truncation.sign(docs, c), c)
+        assert truncation.align_end(short, full) == 1 and [r.early for r in got.collect()] == [True]
+
+    def test_ids_follow_the_length(self, spark):
+        sizes = [1, 2, truncation.LONG - 1, truncation.LONG, *range(2**20, 2**20 + 8)]
+        got = spark.createDataFrame([(n,) for n in sizes], "n int").select("n", truncation.text_id(F.expr("repeat('x', n)")).alias("tid")).orderBy("n").collect()
+        assert [r.tid for r in got] == sorted({r.tid for r in got}) and got[0].tid > 0
+
     def test_shingles_of_a_large_batch(self):
         """A batch of the size that Spark hands over takes the memory of a slice of it."""
         texts = pa.array(self.bodies(20, 250) * 200)
